@@ -1,0 +1,72 @@
+"""Word lists that tell what a short line of a web page is for; shared by problems 1 and 7."""
+
+from __future__ import annotations
+
+import re
+
+#: Labels of navigation menus in the languages of the pages.
+NAVIGATION = (
+    "archive|about us|about|gallery|home|jobs|shop|events|guides|search|press|contact|topics|subscribe|log in|login|sign in|support|news|help|menu|blog|careers|faq|"
+    "termine|suche|anmelden|startseite|archiv|themen|presse|hilfe|über uns|kontakt|laden|aktuelles|ratgeber|impressum|datenschutz|"
+    "agenda|connexion|recherche|thèmes|boutique|accueil|à propos|aide|actualités|archives|mentions légales|"
+    "quiénes somos|temas|prensa|buscar|entrar|contacto|tienda|guías|inicio|archivo|noticias|ayuda|"
+    "поиск|о нас|справочник|войти|контакты|архив|события|темы|магазин|главная|помощь|новости"
+).split("|")
+
+#: Phrases by the purpose of the line that holds them.
+PHRASES = {
+    "consent": "we use cookies|set cookies|keep cookies|rely on cookies|verwenden cookies|setzen cookies|usamos cookies|utilizan cookies|usan cookies|nous utilisons|utilisent des traceurs|файлы cookie|используют cookie|use of cookies|stores small files|kleine dateien|petits fichiers|pequeños archivos|небольшие файлы|your privacy matters|we value your privacy|datenschutzeinstellungen|accept all|alle annehmen|tout accepter|aceptar todo|принять всё",
+    "legal": "^©|^copyright|all rights reserved|provided as is|without guarantee|terms of use|prices may change|no reproduction|alle rechte vorbehalten|ohne gewähr|ein angebot des vereins|impressum|nachdruck nur|tous droits réservés|fournis sans garantie|mentions légales|reproduction interdite|todos los derechos|sin garantía|aviso legal|prohibida la reproducción|un proyecto de la fundación|un projet de l’association|a project of the|все права защищены|без гарантии|перепечатка|условия использования",
+    "byline": "staff writer|written by|redaktion|rédaction|redacción|редакция",
+    "date": "min read|minute read|min. lesezeit|min de lecture|min de lectura|мин. чтения|last updated|zuletzt geändert|mis à jour|última actualización|обновлено|comments|kommentare|commentaires|comentarios|комментар",
+    "share": "share this|share on|copy link|save for later|tell others|pass it on|teilen|weiterempfehlen|per e-mail|partager|envoyer|compartir|comparte|envía este|поделиться|отправить статью|print | e-mail",
+    "subscribe": "subscribe for free|quiet e-mail|sign up for|never miss|support independent|our newsletter|newsletter von|letter and never|jede woche eine|abonnez-vous|chaque semaine|un courriel|suscríbete|cada semana|un correo de|boletín|раз в неделю|письмо от|подпи",
+    "teaser": "you may also like|read next|more from|related articles|related posts|mehr zum thema|das könnte sie auch|weitere artikel|sur le même sujet|à lire aussi|articles liés|también te puede|más artículos|sigue leyendo|по теме|ещё статьи|читайте также",
+    "tags": "filed under|tagged|schlagwörter|etiquetas|mots-clés|метки|tags:",
+}
+_BYLINE = re.compile(r"^(?:by|text|texte|texto|von|par|por|автор|текст|autor|auteur)\s?:? \w+(?: \w+){0,3}$|\| \S+ desk$|, (?:staff|redaktion|rédaction|redacción|редакция)\b", re.IGNORECASE)
+
+
+def _pattern(phrases: str) -> str:
+    """Alternation of the phrases; ``^`` in front ties one to the beginning of the line."""
+    return "|".join("^" + re.escape(p[1:]) if p[0] == "^" else re.escape(p) for p in phrases.split("|"))
+
+
+_KINDS = {kind: re.compile(_pattern(phrases)) for kind, phrases in PHRASES.items()}
+_ANY = re.compile("|".join(map(_pattern, PHRASES.values())))
+_SEPARATORS = re.compile(r"\s[|·›»>–]\s")
+_NAVIGATION = frozenset(NAVIGATION)
+_NAV_PHRASE = re.compile("(?<!\\w)(?:" + "|".join(sorted(map(re.escape, NAVIGATION), key=len, reverse=True)) + ")(?!\\w)")
+_SPACES = re.compile(r"\s+")
+
+
+def plain(line: str) -> str:
+    """Lower case, spaces as one, none at the ends."""
+    return _SPACES.sub(" ", line).strip().lower()
+
+
+def navigation_share(line: str) -> float:
+    """Share of the letters of a plain line that belong to navigation labels."""
+    letters = sum(map(str.isalpha, line))
+    return min(1.0, sum(sum(map(str.isalpha, m)) for m in _NAV_PHRASE.findall(line)) / letters) if letters else 0.0
+
+
+def purpose(line: str) -> str:
+    """What a plain line is for besides content: a kind of PHRASES, navigation, breadcrumb, or nothing."""
+    if len(line) > 260:
+        return ""
+    if line in _NAVIGATION:
+        return "navigation"
+    if _ANY.search(line):
+        return next(kind for kind, pattern in _KINDS.items() if pattern.search(line))
+    if " › " in line or " » " in line:
+        return "breadcrumb"
+    if _BYLINE.search(line):
+        return "byline"
+    if len(line) < 120 and navigation_share(line) >= 0.8:
+        return "navigation"
+    return ""
+
+
+def separators(line: str) -> int:
+    return len(_SEPARATORS.findall(line))
