@@ -87,55 +87,68 @@ def html_blocks(source: str) -> list[Block]:
 
 
 def describe_lines(text: str, *sources: str | None) -> tuple[list[int], list[Block]]:
-    """Numbers of the lines with text, and their blocks, with what the HTML sources know of them."""
+    """Numbers of the lines with text, and their blocks, with what the HTML sources know of them.
+
+    A source is only parsed while lines are still unknown to the sources before it.
+    """
+    keys = [(i, key, line) for i, line in enumerate(text.split("\n")) if (key := " ".join(line.split()))]
     known: dict[str, Block] = {}
     for source in sources:
-        if source:
+        if source and any(key not in known for _, key, _ in keys):
             for b in html_blocks(source):
                 seen = known.setdefault(b.text, b)
                 if b.element > seen.element:  # a text that occurs twice counts as content once it is content
                     known[b.text] = b
-    numbers, blocks = [], []
-    for i, line in enumerate(text.split("\n")):
-        key = " ".join(line.split())
-        if key:
-            numbers.append(i)
-            b = known.get(key)
-            blocks.append(Block(line, b.links, b.element) if b else Block(line))
-    return numbers, blocks
+    found = [(known.get(key), line) for _, key, line in keys]
+    return [i for i, _, _ in keys], [Block(line, b.links, b.element) if b else Block(line) for b, line in found]
 
 
 def features(numbers: list[int], blocks: list[Block]) -> np.ndarray:
-    """One row of FEATURES for each block."""
+    """One row of FEATURES for each block; those of the words are only worked out where a block has no HTML."""
     n = len(blocks)
+    if not n:
+        return np.zeros((0, len(FEATURES)))
     lines = [plain(b.text) for b in blocks]
     words = np.array([len(_WORDS.findall(x)) if len(x) < 400 else 80 for x in lines], float)
     links = np.array([b.links for b in blocks])
-    purposes = [purpose(x) for x in lines]
-    ends = np.array([bool(_END.search(x)) for x in lines], float)
-    after, titles = np.zeros(n), np.zeros(n)
-    teaser = 0
-    for i in range(n):
+    elements = np.array([b.element for b in blocks])
+    kinds, separate, ends, after, titles = np.zeros((5, n))
+    if (elements == UNKNOWN).any():
+        purposes = [purpose(x) for x in lines]
+        kinds = np.array([float(bool(p)) for p in purposes])
+        separate = np.array([separators(x) for x in lines], float)
+        ends = np.array([bool(_END.search(x)) for x in lines], float)
+        after = _after_teaser(numbers, purposes, ends, words)
+        titles = _titles_only(numbers, lines, ends, words)
+    pad = lambda x: np.concatenate([[0.0], x, [0.0]])
+    w, k = pad(words), pad(links)
+    return np.column_stack([w[:-2], words, w[2:], k[:-2], links, k[2:], elements, kinds, separate, ends, after, titles])
+
+
+def _after_teaser(numbers: list[int], purposes: list[str], ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For the short lines that follow the head of a teaser: how many lines ago it was."""
+    out, since = np.zeros(len(numbers)), 0
+    for i, kind in enumerate(purposes):
         gap = i > 0 and numbers[i] - numbers[i - 1] > 1
-        if purposes[i] == "teaser":
-            teaser = 1
-        elif teaser and (ends[i] or words[i] > 16 or purposes[i] or (gap and teaser > 1)):
-            teaser = 0
-        elif teaser:
-            teaser += 1
-            after[i] = teaser - 1
-    first = 0
+        if kind == "teaser":
+            since = 1
+        elif since and (ends[i] or words[i] > 16 or kind or (gap and since > 1)):
+            since = 0
+        elif since:
+            out[i] = since
+            since += 1
+    return out
+
+
+def _titles_only(numbers: list[int], lines: list[str], ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Size of a group of adjacent lines none of which is a sentence or a row of a table; 0 for all other lines."""
+    n, out, first = len(numbers), np.zeros(len(numbers)), 0
     for i in range(1, n + 1):
         if i == n or numbers[i] - numbers[i - 1] > 1:
-            group = range(first, i)
-            # a list of links without its HTML: two or more lines, none of them a sentence or a row of a table
-            if i - first > 1 and not any(ends[j] or words[j] > 14 or _ROW.search(lines[j]) for j in group):
-                titles[first:i] = i - first
+            if i - first > 1 and not any(ends[j] or words[j] > 14 or _ROW.search(lines[j]) for j in range(first, i)):
+                out[first:i] = i - first
             first = i
-    kinds = np.array([0.0 if not p else 1.0 for p in purposes])
-    pad = lambda x: np.concatenate([[0.0], x, [0.0]])
-    w, k = pad(words), pad(links)
-    return np.column_stack([w[:-2], words, w[2:], k[:-2], links, k[2:], [b.element for b in blocks], kinds, [separators(x) for x in lines], ends, after, titles]) if n else np.zeros((0, len(FEATURES)))
+    return out
 
 
 @dataclass
