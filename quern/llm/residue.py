@@ -58,17 +58,28 @@ PLACEHOLDER = re.compile(
 _SHOUTED = re.compile(r"__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|\[[A-Z][A-Z_]{2,60}\]|\b[A-Z]+_PLACEHOLDER\w*|\{\{|\$\{|\{%|<%|\[\[|@@|\[[Ii]nsert |\{[a-z][\w.]{1,40}\}")
 _MARK = "\x01"
 _TOKEN = re.compile(r"\x01|[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<=[.!?…;])\s+")
 _SUFFIX = re.compile(r"\s[|–—-]\s[^|–—-]+$")
 #: A window is residue from this containment on, or from so many placeholders a word; a text from this coverage on.
 LEAST_CONTAINMENT, LEAST_PLACEHOLDERS, LEAST_COVERAGE = 0.6, 1 / 30, 0.3
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words; a placeholder is one token, codes that mix letters and digits are dropped."""
+def prepared(text: str) -> str:
+    """Lower case, every placeholder as one mark, apostrophes as spaces."""
     if _SHOUTED.search(text):
         text = PLACEHOLDER.sub(lambda m: f" {_MARK} " if _SHOUTED.match(m.group()) else m.group(), text)
-    return [t for t in _TOKEN.findall(text.lower().replace("’", "'").replace("'", " ")) if not (len(t) > 3 and any(c.isdigit() for c in t))]
+    return text.lower().replace("’", " ").replace("'", " ")
+
+
+def words_of(window: str) -> list[str]:
+    """Words of a prepared text; longer codes that hold digits are dropped."""
+    found = _TOKEN.findall(window)
+    return [t for t in found if t.isalpha() or len(t) <= 3 or not _DIGIT.search(t)] if _DIGIT.search(window) else found
+
+
+def tokens(text: str) -> list[str]:
+    return words_of(prepared(text))
 
 
 def windows(text: str) -> Iterator[str]:
@@ -93,7 +104,7 @@ def document_frequencies(texts: DataFrame, column: str) -> DataFrame:
         n: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = VOCABULARY.intersection(_TOKEN.findall(text.lower()))
+                found = VOCABULARY.intersection(words_of(prepared(text)))
                 n.update(found)
                 n[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
@@ -107,8 +118,8 @@ class ResidueIndex:
 
     weight: dict[str, float]
     other: float
+    greatest: float
     postings: dict[str, list[int]] = field(default_factory=dict)
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, frequencies: dict[str, int]) -> ResidueIndex:
@@ -118,42 +129,49 @@ class ResidueIndex:
         for i, exemplar in enumerate(EXEMPLARS):
             for t in set(tokens(exemplar)):
                 postings[t].append(i)
-        return cls(weight, sum(weight.values()) / len(weight), dict(postings))
-
-    def containment(self, words: list[str]) -> float:
-        """Greatest tf-idf share of the window's words that one exemplar contains."""
-        counts = Counter(words)
+        return cls(weight, sum(weight.values()) / len(weight), max(weight.values()), dict(postings))
+
+    def containment(self, words: list[str], least: float = 0.0) -> float:
+        """Greatest tf-idf share of the window's words that one exemplar contains; 0 where it can't reach ``least``."""
+        weight, other, total, known, inside = self.weight, self.other, 0.0, 0.0, []
+        # what the known words weigh at most, against what the distinct unknown ones weigh at least
+        strangers = len(set(words).difference(weight))
+        if sum(map(weight.__contains__, words)) * self.greatest * (1 - least) < least * other * strangers:
+            return 0.0
+        for t, n in Counter(words).items():
+            w = weight.get(t)
+            if w is None:
+                total += other * (1 + math.log(n)) if n > 1 else other
+            else:
+                w *= 1 + math.log(n)
+                total += w
+                known += w
+                inside.append((t, w))
+        if not inside or known < least * total:  # no exemplar contains more than all of them together
+            return 0.0
         score: dict[int, float] = defaultdict(float)
-        total = 0.0
-        for t, n in counts.items():
-            w = self.weight.get(t, self.other) * (1 + math.log(n))
-            total += w
+        for t, w in inside:
             for e in self.postings.get(t, ()):
                 score[e] += w
-        return max(score.values()) / total if score and total else 0.0
+        return max(score.values()) / total if score else 0.0
 
-    def window_is_residue(self, window: str) -> tuple[int, bool]:
-        """Number of words, and whether the window is residue."""
-        words = tokens(window)
-        if not words:
-            return 0, False
+    def words_are_residue(self, words: list[str]) -> bool:
+        """Whether a window of these words is residue."""
         marks = words.count(_MARK)
-        if marks and marks >= LEAST_PLACEHOLDERS * len(words):
-            return len(words), True
-        if not any(t in self.postings for t in words):
-            return len(words), False
-        return len(words), self.containment(words) >= LEAST_CONTAINMENT
+        return (marks > 0 and marks >= LEAST_PLACEHOLDERS * len(words)) or self.containment(words, LEAST_CONTAINMENT) >= LEAST_CONTAINMENT
 
     def coverage(self, text: str) -> float:
         """Share of the words outside boilerplate that lie in residue windows."""
-        covered = content = 0
-        for window in windows(text):
-            n, residue = self.window_is_residue(window)
-            if residue:
-                covered += n
-            elif n and not self._neutral(window):
-                content += n
-        return covered / (covered + content) if covered else 0.0
+        covered, others = 0, []
+        for window in windows(prepared(text)):
+            words = words_of(window)
+            if words and self.words_are_residue(words):
+                covered += len(words)
+            elif words:
+                others.append((window, len(words)))
+        if not covered:
+            return 0.0
+        return covered / (covered + sum(n for window, n in others if len(window) > 260 or not self._neutral(window)))
 
     def _neutral(self, window: str) -> bool:
         line = plain(window)
@@ -170,7 +188,7 @@ class ResidueIndex:
         words = tokens(head)
         if not words:
             return False
-        return words.count(_MARK) * 3 >= len(words) or self.containment(words) >= 0.75
+        return words.count(_MARK) * 3 >= len(words) or self.containment(words, 0.75) >= 0.75
 
 
 def fit(df: DataFrame, text_column: str = "text_content") -> ResidueIndex:
