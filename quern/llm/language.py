@@ -26,7 +26,10 @@ BACKOFF_WEIGHT = 0.35
 #: Weight of the document's own language when one of its lines is judged.
 CONTEXT_WEIGHT = 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_RUNS = re.compile(r"[^\W_]+")
+_INVISIBLE = re.compile("[\x00-\x08\x0b-\x1f\u200b-\u200f]")
+#: Letters that the languages are written with: Latin and Cyrillic.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏЀ-ӿ]+")
 
 
 def label_language(label: Column) -> Column:
@@ -137,10 +140,12 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
 
 def countable(line: str, least_words: int = 4) -> bool:
-    """Whether a line has enough words of letters alone and is no code, address, number or row of symbols."""
-    pieces = line.split()
-    words = sum(1 for p in pieces if (p if p.isalpha() else _EDGES.sub("", p)).isalpha())
-    return words >= least_words and 2 * words >= len(pieces)
+    """Whether a line has enough words of letters alone, in a script of the languages, and is no code, address, number or row of symbols.
+
+    A word is a run of letters and digits. Most of the line must be in such words.
+    """
+    words = [w for w in _RUNS.findall(line) if _WORD.fullmatch(w)]
+    return len(words) >= least_words and sum(map(len, words)) >= 0.6 * len("".join(line.split())) and not _INVISIBLE.search(line)
 
 
 def judge_document(model: LanguageModel, text: str | None, least_words: int = 4) -> tuple[str | None, float, list[tuple[int, str, float]]]:
