@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quern-package-")  # on the driver, which serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = Path(folder, "source", package.name)
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(Path(folder, "quern")), "zip", copy.parent))
+    context._quern_shipped = True
+
+
 def read_table(spark: SparkSession, root: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
     """One table of a data directory, pruned to ``columns``; NTZ timestamps become UTC instants."""
+    ship(spark)
     df = spark.read.parquet(f"{root}/{name}.parquet")
     if columns is not None:
         df = df.select(*columns)
