@@ -94,7 +94,7 @@ def needs_render(text: Column, html: Column, least_bytes: int) -> Column:
 
 def magnitude(n: Column) -> Column:
     """Number of characters for display: 999, 1.2k, 3.4M."""
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.format_number(n / 1000, "0.0"), F.lit("k"))).otherwise(F.concat(F.format_number(n / 1_000_000, "0.0"), F.lit("M")))
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.format_string("%.1f", n / 1000), F.lit("k"))).otherwise(F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M")))
 
 
 def shown_duration(ms: Column) -> Column:
@@ -102,7 +102,7 @@ def shown_duration(ms: Column) -> Column:
     seconds = F.floor(ms / 1000)
     return (
         F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms")))
-        .when(ms < 60_000, F.concat(F.format_number(ms / 1000, "0.0"), F.lit(" s")))
+        .when(ms < 60_000, F.concat(F.format_string("%.1f", ms / 1000), F.lit(" s")))
         .when(ms.isNotNull(), F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))
     )
 
