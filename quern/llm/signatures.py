@@ -24,9 +24,17 @@ from quern.runtime import cut
 #: Buckets of the frequency sketch that orders the tokens; any order gives the exact result, a good one is fast.
 SKETCH_BITS, SKETCH_CHUNKS = 20, 16
 #: Bits of a record's bitmap, and records of a token that share one tree; larger groups are split.
-BITMAP_WORDS, TREE_RECORDS = 16, 1024
+BITMAP_WORDS, TREE_RECORDS = 8, 1024
 _LEAF, _FANOUT = 8, 8
+#: Rows of a token that are looked through pair by pair before any bitmap is made.
+SMALL_GROUP = 16
+#: So many keys are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Bits of the filter of keys that candidates name, whatever the size of the data.
+FILTER_BITS = 24
 _WORD = re.compile(r"[^\W_]+")
+#: Bytes of a token: two sets of a thousand tokens agree in one by chance once in 10**8 pairs.
+TOKEN_BYTES = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -41,8 +49,19 @@ class Collection:
     least: int = 1
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Tokens of TOKEN_BYTES bytes each."""
+    return np.ascontiguousarray(tokens.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.view("<i8").reshape(-1).astype(np.int64)
+
+
 class Shingler:
-    """Sorted distinct 64-bit hashes of the runs of ``words`` consecutive words of a text."""
+    """Sorted distinct 48-bit hashes of the runs of ``words`` consecutive words of a text."""
 
     def __init__(self) -> None:
         self.memo: dict[str, int] = {}
@@ -66,7 +85,7 @@ class Shingler:
             for i in range(words):
                 out = (out ^ h[i : i + n]) * _ODD
                 out ^= out >> np.uint64(29)
-        return np.unique(out.view(np.int64))
+        return np.unique((out >> np.uint64(64 - 8 * TOKEN_BYTES)).view(np.int64))
 
 
 def token_sets(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
@@ -86,7 +105,7 @@ def token_sets(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
             tabs = batch.column(0).to_pylist()
             sets = [shingle(t, specs[tab].words, tab) for t, tab in zip(batch.column(2).to_pylist(), tabs)]
             keep = [i for i, s in enumerate(sets) if len(s) >= max(1, specs[tabs[i]].least)]
-            raw = [sets[i].tobytes() for i in keep]
+            raw = [packed(sets[i]) for i in keep]
             digests = [xxhash.xxh3_128_digest(r) for r in raw]
             chosen = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -101,12 +120,12 @@ def token_sets(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a batch, and where each row's begin."""
     raw = column.to_pylist()
-    ends = np.cumsum([0] + [len(r) // 8 for r in raw])
-    return np.frombuffer(b"".join(raw), np.int64), ends
+    ends = np.cumsum([0] + [len(r) // TOKEN_BYTES for r in raw])
+    return unpacked(b"".join(raw)), ends
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return tokens >> (8 * TOKEN_BYTES - SKETCH_BITS)
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
@@ -135,7 +154,10 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def routed(sets: DataFrame, sketch: np.ndarray, specs: list[Collection]) -> DataFrame:
-    """(token, key): the rare tokens of each set, of which similar sets share one."""
+    """(token, key, shape): the rare tokens of each set, of which similar sets share one.
+
+    ``shape`` holds the table, the size of the set and the place of the token among its rare ones.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
     thresholds = [c.threshold for c in specs]
 
@@ -144,7 +166,7 @@ def routed(sets: DataFrame, sketch: np.ndarray, specs: list[Collection]) -> Data
         for batch in batches:
             tokens, ends = _tokens(batch.column(2))
             weight = frequency[_bucket(tokens)]
-            chosen, owners = [], []
+            chosen, owners, shapes = [], [], []
             for i, (key, tab) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 mine = slice(ends[i], ends[i + 1])
                 n = ends[i + 1] - ends[i]
@@ -152,48 +174,99 @@ def routed(sets: DataFrame, sketch: np.ndarray, specs: list[Collection]) -> Data
                 order = np.lexsort((tokens[mine], weight[mine]))[:first]
                 chosen.append(tokens[mine][order])
                 owners.append(np.full(len(order), key, np.int64))
+                shapes.append((int(tab) << 60 | int(n) << 30) + np.arange(len(order)))
             if chosen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), pa.array(np.concatenate(owners))], names=["token", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(shapes))], names=["token", "key", "shape"])
 
-    return sets.select("key", "tab", "tokens").mapInArrow(run, "token bigint, key bigint")
+    return sets.select("key", "tab", "tokens").mapInArrow(run, "token bigint, key bigint, shape bigint")
 
 
-def meeting(postings: DataFrame) -> DataFrame:
-    """(token, key, slot) of the tokens that at least two sets have; slot counts trees of TREE_RECORDS members.
+def partnered(token: np.ndarray, shape: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by token and shape, have a possible partner at their token.
 
-    Streams through sorted partitions; however many sets have a token, only the last row is held.
+    Two sets whose first common token has places i and j have at most min(n - i, m - j) tokens in common. In
+    groups of up to SMALL_GROUP rows every pair is looked at; in larger ones a row stays if some row that is
+    small enough for it could have a partner of its size.
+    """
+    t = thresholds[shape >> 60]
+    n, place = (shape >> 30) & 0x3FFFFFFF, shape & 0x3FFFFFFF
+    share = t / (1 + t)
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(token)]]))
+    size = np.repeat(sizes, sizes)
+    out = np.zeros(len(token), bool)
+    a = np.flatnonzero((size > 1) & (size <= SMALL_GROUP))
+    for step in range(1, SMALL_GROUP):
+        a = a[(size[a] > step) & (a + step < len(token))]
+        a = a[token[a] == token[np.minimum(a + step, len(token) - 1)]]
+        if not len(a):
+            break
+        b = a + step
+        ok = (n[a] >= t[a] * n[b] - 1e-9) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= share[a] * (n[a] + n[b]) - 1e-9)
+        out[a[ok]] = out[b[ok]] = True
+    # the largest partner that a row's place allows
+    most = (n - place + 1e-6) / share - n
+    for s, length in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
+        rows = slice(s, s + length)
+        reach = np.searchsorted(n[rows], most[rows], "right")  # sizes ascend within a token
+        best = np.concatenate([[-1.0], np.maximum.accumulate(most[rows])])[reach]
+        out[rows] = (most[rows] >= t[rows] * n[rows] - 1e-9) & (best >= n[rows])
+    return out
+
+
+def meeting(postings: DataFrame, specs: list[Collection]) -> DataFrame:
+    """(token, key, slot) of the tokens at which sets can meet a partner; slot counts trees of TREE_RECORDS members.
+
+    Streams through sorted partitions; however many sets have a token, only a small group is held.
     """
+    thresholds = np.array([c.threshold for c in specs])
+
+    def batch_of(token: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array((place // TREE_RECORDS).astype(np.int32))], names=["token", "key", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # the last row, not yet known to be shared unless ``count`` > 0
-        count = 0  # rows of the last token already given out
+        held: tuple[np.ndarray, ...] | None = None  # the last group, while it is small
+        large, given = 0, 0  # the last group, once it is large, and how many of its rows are out
         for batch in batches:
-            token, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:
-                token, key = np.concatenate([[last[0]], token]), np.concatenate([[last[1]], key])
+            rows = tuple(batch.column(i).to_numpy() for i in range(3))
+            if given and len(rows[0]):
+                more = int(np.searchsorted(rows[0] != large, True)) if rows[0][0] == large else 0
+                if more:
+                    yield batch_of(rows[0][:more], rows[1][:more], given + np.arange(more))
+                    given += more
+                rows = tuple(r[more:] for r in rows)
+            if held is not None:
+                rows = tuple(np.concatenate([h, r]) for h, r in zip(held, rows))
+                held = None
+            token, key, shape = rows
             if not len(token):
                 continue
-            same_next = np.concatenate([token[1:] == token[:-1], [False]])
-            same_before = np.concatenate([[count > 0], token[1:] == token[:-1]])
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            place = np.arange(len(token)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(token)]])))
-            place[token == token[0]] += count
-            give = (same_next | same_before)[:-1]
-            out = np.flatnonzero(give)
-            last = (int(token[-1]), int(key[-1]))
-            count = int(place[-1])
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(key[out]), pa.array((place[out] // TREE_RECORDS).astype(np.int32))], names=["token", "key", "slot"])
-        if last is not None and count > 0:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([count // TREE_RECORDS], pa.int32())], names=["token", "key", "slot"])
-
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token bigint, key bigint, slot int")
+            last = int(np.searchsorted(token == token[-1], True))
+            if len(token) - last <= SMALL_GROUP:
+                held = tuple(r[last:] for r in rows)
+                token, key, shape = (r[:last] for r in rows)
+                given = 0
+            else:
+                large, given = int(token[-1]), len(token) - last
+            if len(token):
+                keep = partnered(token, shape, thresholds)
+                starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                place = np.arange(len(token)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(token)]])))
+                if keep.any():
+                    yield batch_of(token[keep], key[keep], place[keep])
+        if held is not None:
+            token, key, shape = held
+            keep = partnered(token, shape, thresholds)
+            if keep.any():
+                yield batch_of(token[keep], key[keep], np.arange(len(token))[keep])
+
+    return postings.repartition("token").sortWithinPartitions("token", "shape").mapInArrow(run, "token bigint, key bigint, slot int")
 
 
 def bitmaps(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """BITMAP_WORDS words for each set: one bit for each token, several tokens may share a bit."""
     rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    bit = (tokens.view(np.uint64) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
+    bit = tokens % (64 * BITMAP_WORDS)
     flags = np.zeros((len(ends) - 1, 64 * BITMAP_WORDS), np.uint8)
     flags[rows, bit] = 1
     return np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
@@ -280,7 +353,10 @@ def tree_candidates(met: DataFrame, sets: DataFrame, specs: list[Collection]) ->
     # groups of more than TREE_RECORDS members: every two slots get a tree of their own
     slots = met.where("slot > 0").groupBy("token").agg((F.max("slot") + 1).alias("slots"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))
-    keyed = met.join(slots, "token", "left").select("token", "key", "slot", other.alias("other"))
+    if (hot := slots.count()) <= BROADCAST_KEYS:
+        slots = F.broadcast(slots)
+    joined = met.join(slots, "token", "left") if hot else met.withColumn("slots", F.lit(1))
+    keyed = joined.select("token", "key", "slot", other.alias("other"))
     keyed = keyed.select("token", "key", "slot", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"))
     groups = keyed.join(described, "key").select("token", "low", "high", "slot", "key", "tab", "n", "bits")
 
@@ -347,17 +423,44 @@ def tree_candidates(met: DataFrame, sets: DataFrame, specs: list[Collection]) ->
     return sorted_groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def leaving_out(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """``sets`` without ``keys``; without a shuffle of the sets while the keys are few enough to broadcast."""
+    if keys.count() <= BROADCAST_KEYS:
+        return sets.join(F.broadcast(keys), "key", "left_anti")
+    return cut(sets.join(keys, "key", "left_anti"))
+
+
+def named_only(sets: DataFrame, candidates: DataFrame, side: str) -> DataFrame:
+    """(key, tab, tokens) of the sets that candidates may name in column ``side``, by a bitmap of fixed size; the join decides."""
+    key = F.col(side)
+    places = candidates.select(F.pmod(key + F.shiftright(key, 33) * 7919, F.lit(1 << FILTER_BITS)).alias("p"))
+    chunks = places.groupBy(F.floor(F.col("p") / 32_768).alias("chunk")).agg(F.bitmap_construct_agg(F.col("p") % 32_768).alias("bits")).collect()
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in chunks:
+        bits[r.chunk * 4096 : (r.chunk + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            p = (key + (key >> 33) * 7919) % (1 << FILTER_BITS)
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+
+    return sets.select("key", "tab", "tokens").mapInArrow(run, "key bigint, tab int, tokens binary")
+
+
 def verified(candidates: DataFrame, sets: DataFrame, specs: list[Collection]) -> DataFrame:
     """(tab, a, b, similarity) of the candidates whose exact Jaccard similarity reaches the threshold."""
     thresholds = [c.threshold for c in specs]
-    one = candidates.join(sets.select(F.col("key").alias("a"), "tab", F.col("tokens").alias("tokens_a")), "a")
-    both = one.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    candidates = cut(candidates)
+    one = candidates.join(named_only(sets, candidates, "a").select(F.col("key").alias("a"), "tab", F.col("tokens").alias("tokens_a")), "a")
+    both = one.join(named_only(sets, candidates, "b").select(F.col("key").alias("b"), F.col("tokens").alias("tokens_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, similarity = [], []
             for i, (tab, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                a, b = unpacked(x), unpacked(y)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 if common >= thresholds[tab] * (len(a) + len(b) - common) - 1e-9:
                     keep.append(i)
@@ -386,8 +489,8 @@ def similar_pairs(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
     members = cut(current.join(several, ["tab", "digest"], "left").select("key", "tab", "id", F.coalesce("head", "key").alias("head"), F.coalesce("copies", F.lit(1)).alias("copies")))
     # copies other than the first, and rows that a newer one replaced, are taken out; both are few and narrow
     out = sets.select("key").join(members.where("key = head").select("key"), "key", "left_anti")
-    single = sets.join(out, "key", "left_anti").select("key", "tab", "n", "tokens")
-    met = cut(meeting(routed(single, frequency_sketch(single), specs)))
+    single = leaving_out(sets, out).select("key", "tab", "n", "tokens")
+    met = cut(meeting(routed(single, frequency_sketch(single), specs), specs))
     pairs = verified(tree_candidates(met, single, specs), single, specs)
     name = F.element_at(F.array(*[F.lit(c.name) for c in specs]), F.col("tab") + 1)
     left, right = members.select(F.col("head").alias("a"), F.col("id").alias("x")), members.select(F.col("head").alias("b"), F.col("id").alias("y"))
