@@ -1,9 +1,9 @@
 """Problem 4: the k most similar vectors of every vector, by an exact block matrix join.
 
-Vectors are put into blocks around centroids. A tile multiplies the int8 codes of two blocks; each product
-has a bound on its quantisation error, and only pairs that can still be among the k best are computed
-again in double precision. Before a vector visits another cell, the angle between it and the cell's
-centroid, less the cell's radius, must leave room for a neighbour better than the k-th it already has.
+The vectors of a kind are spread over blocks. A first pass multiplies every block with itself, which gives
+each vector a similarity that k neighbours already reach. A second pass has one tile for every two blocks:
+the product of their int8 codes, with a bound on the quantisation error of each entry, tells which pairs can
+still be among the k best; only these are computed again in double precision, and heaps merge the rest.
 """
 
 from __future__ import annotations
@@ -13,16 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.runtime import cut
 
-#: Bounds: rows that the centroids are fitted on, centroids, rows of a block, visitors of a tile.
-SAMPLE_ROWS, CENTROIDS, BLOCK_ROWS, TILE_VISITORS = 8192, 192, 4096, 16_384
+#: Rows of a block, and kinds that are broadcast at most (with more of them their numbers are joined).
+BLOCK_ROWS, BROADCAST_KINDS = 4096, 100_000
 DIGITS = 6
-_SLACK = 2e-6
+#: Rows of one product, and what rounding to DIGITS and to float32 may add to a similarity.
+TILE_ROWS, _SLACK = 256, 4e-6
 
 
 def usable(vectors: DataFrame, model: str = "emb-v1", dim: int = 128) -> DataFrame:
@@ -31,22 +31,7 @@ def usable(vectors: DataFrame, model: str = "emb-v1", dim: int = 128) -> DataFra
     return vectors.where(good).groupBy("owner_kind", "id").agg(F.max_by("embedding", "created_at").alias("embedding"))
 
 
-def fit_centroids(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CENTROIDS, rounds: int = 6) -> np.ndarray:
-    """Unit centroids of at most ``sample_rows`` rows, those with the least hash of their id."""
-    rows = vectors.select("embedding", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows).select("embedding").collect()
-    if not rows:
-        return np.zeros((0, 0), np.float32)
-    x = _unit(np.array([r.embedding for r in rows], np.float32))
-    means = x[:: max(1, len(x) // centroids)][:centroids].copy()
-    for _ in range(rounds):
-        nearest = (x @ means.T).argmax(axis=1)
-        for c in np.unique(nearest):
-            means[c] = x[nearest == c].mean(axis=0)
-        means = _unit(means)
-    return means
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
@@ -57,157 +42,134 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
-def tile_candidates(left: np.ndarray, right: np.ndarray, floor: np.ndarray, k: int, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of ``left`` (unit vectors), the rows of ``right`` that can be among its k best, with their cosines.
-
-    ``floor`` is a similarity that k neighbours are already known to reach. The int8 products are exact in
-    float32 (128 * 127 * 127 < 2**24).
-    """
-    a, sa, ea = quantise(left)
-    b, sb, eb = quantise(right)
-    wide = b.astype(np.float32).T
-    for at in range(0, len(left), 512):
-        rows = slice(at, at + 512)
-        products = (a[rows].astype(np.float32) @ wide) * sa[rows, None] * sb[None, :]
-        error = ea[rows, None] + (1 + ea[rows, None]) * eb[None, :] + _SLACK
-        if same:
-            own = np.arange(at, min(at + 512, len(left)))
-            products[own - at, own] = -9
-        least = floor[rows]
-        if products.shape[1] > k:
-            low = products - error
-            least = np.maximum(least, np.partition(low, -k, axis=1)[:, -k])
-        survives = products + error >= least[:, None]
-        if same:
-            survives[own - at, own] = False
-        i, j = np.nonzero(survives)
-        cosines = np.round(np.einsum("ij,ij->i", left[at + i], right[j]), DIGITS)
-        ends = np.searchsorted(i, np.arange(products.shape[0] + 1))
-        for row in range(products.shape[0]):
-            part = slice(ends[row], ends[row + 1])
-            yield at + row, j[part], cosines[part]
-
-
-def _best(ids: np.ndarray, j: np.ndarray, cosines: np.ndarray, k: int) -> list[tuple[float, str]]:
-    """The k best (-similarity, id) of one row."""
-    return heapq.nsmallest(k, zip((-cosines).tolist(), ids[j].tolist()))
-
-
-def _vectors(column: pd.Series) -> np.ndarray:
-    return _unit(np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1))
-
-
-_PLACED = "owner_kind string, id string, cell int, cosine double, vector binary"
-
-
-def place(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Cell and cosine to its centroid of each vector; the vector as unit float64."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(np.asarray(batch.column(2).flatten(), np.float64).reshape(batch.num_rows, -1))
-            products = x @ shared.value.T.astype(np.float64)
-            cell = products.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(products[np.arange(len(x)), cell], pa.float64()), pa.array([v.tobytes() for v in x], pa.binary())],
-                names=["owner_kind", "id", "cell", "cosine", "vector"],
-            )
-
-    return vectors.select("owner_kind", F.col("id").cast("string"), "embedding").mapInArrow(run, _PLACED)
+class Block:
+    """Unit vectors of one block with their int8 codes."""
+
+    def __init__(self, raw: list[bytes]):
+        self.x = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64))
+        self.codes, scale, error = quantise(self.x)
+        self.scale, self.error = scale.astype(np.float32), error.astype(np.float32)
+        self.wide = self.codes.astype(np.float32).T
+
+    def bounds(self, other: Block, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Similarity of some rows with all of ``other`` by their codes, and the greatest error of each entry.
+
+        The products of codes are exact in float32 (128 * 127 * 127 < 2**24).
+        """
+        product = self.codes[rows].astype(np.float32) @ other.wide
+        product *= self.scale[rows, None] * other.scale
+        mine = self.error[rows, None]
+        return product, (1 + mine) * other.error + (mine + np.float32(_SLACK))
+
+    def cosines(self, i: np.ndarray, other: Block, j: np.ndarray) -> np.ndarray:
+        return np.round(np.einsum("ij,ij->i", self.x[i], other.x[j]), DIGITS)
+
+
+def _heaps(rows: np.ndarray, ids: np.ndarray, cosines: np.ndarray, n: int, k: int) -> list[list[tuple[float, str]]]:
+    """The k best (-similarity, id) of each of n rows; ``rows`` ascends."""
+    ends = np.searchsorted(rows, np.arange(n + 1))
+    worth, names = (-cosines).tolist(), ids.tolist()
+    return [heapq.nsmallest(k, zip(worth[a:b], names[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def within(block: Block, ids: np.ndarray, k: int) -> list[list[tuple[float, str]]]:
+    """The k best other rows of the same block for each row."""
+    out: list[list[tuple[float, str]]] = []
+    for at in range(0, len(ids), TILE_ROWS):
+        rows = slice(at, min(at + TILE_ROWS, len(ids)))
+        value, error = block.bounds(block, rows)
+        own = np.arange(rows.start, rows.stop)
+        value[own - at, own] = -9
+        if len(ids) > k:
+            least = np.partition(value - error, -k, axis=1)[:, -k, None]
+            possible = value + error >= least
+        else:
+            possible = np.ones(value.shape, bool)
+        possible[own - at, own] = False
+        i, j = np.nonzero(possible)
+        out += _heaps(i, ids[j], block.cosines(i + at, block, j), len(own), k)
+    return out
+
+
+def across(left: Block, right: Block, left_floor: np.ndarray, right_floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Rows, partners and similarities of two blocks that reach the floor of a row; for left rows, then for right rows."""
+    left_floor, right_floor = left_floor.astype(np.float32), right_floor.astype(np.float32)
+    for at in range(0, len(left_floor), TILE_ROWS):
+        value, error = left.bounds(right, slice(at, at + TILE_ROWS))
+        value += error
+        for possible, from_left in ((value >= left_floor[at : at + TILE_ROWS, None], True), (value >= right_floor, False)):
+            i, j = np.nonzero(possible)
+            if len(i):
+                c = left.cosines(i + at, right, j)
+                yield (i + at, j, c, True) if from_left else (j, i + at, c, False)
 
 
 _NEIGHBOUR = "owner_kind string, id string, neighbour string, similarity double"
+_FOUND = "array<struct<similarity: double, neighbour: string>>"
+
+
+def _strings(values: list[str]) -> pd.Series:
+    return pd.Series(values, dtype=object)
 
 
-def nearest(vectors: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     """(owner_kind, id, neighbour, similarity): the k most similar other vectors of the same owner_kind.
 
-    ``vectors`` has owner_kind, id (each pair once) and embedding, all of one length. Similarity is the
-    cosine rounded to 6 decimals; ties go to the smaller id. A kind with fewer than k + 1 vectors gives fewer
-    rows, an empty table none. The centroids are fitted on a bounded sample; every vector is searched and
-    the result is exact.
+    ``vectors`` has owner_kind, id (each pair once) and embedding, all of one length; null kinds and ids are
+    left out. Similarity is the cosine rounded to 6 decimals; ties go to the smaller id. A kind with fewer
+    than k + 1 vectors gives fewer rows, an empty table none. The result is exact.
     """
-    spark = vectors.sparkSession
-    centroids = fit_centroids(vectors, sample_rows)
-    if not len(centroids):
-        return spark.createDataFrame([], _NEIGHBOUR)
-    placed = cut(place(vectors, centroids))
-    # one row for each kind and cell: bounded by the kinds times CENTROIDS
-    cells = [(r.owner_kind, r.cell, float(np.arccos(np.clip(r.least, -1, 1))), -(-r.n // BLOCK_ROWS)) for r in placed.groupBy("owner_kind", "cell").agg(F.min("cosine").alias("least"), F.count("*").alias("n")).collect()]
-    salts = spark.createDataFrame([(a, b, d) for a, b, _, d in cells], "owner_kind string, cell int, salts int")
-    blocked = placed.join(F.broadcast(salts), ["owner_kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select("owner_kind", "cell", "salt", "id", "vector")
-
-    def inside(block: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _vectors(block["vector"]), block["id"].to_numpy(object)
-        best = [_best(ids, j, c, k) for _, j, c in tile_candidates(x, x, np.full(len(x), -2.0), k, True)]
+    named = vectors.where("owner_kind is not null and id is not null").select("owner_kind", F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    named = cut(named)
+    kinds = named.groupBy("owner_kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    if kinds.count() <= BROADCAST_KINDS:
+        kinds = F.broadcast(kinds)
+    placed = named.join(kinds, "owner_kind").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, raw = rows["id"].to_numpy(object), [np.asarray(v, np.float32).tobytes() for v in rows["embedding"]]
+        best = within(Block(raw), ids, k)
         return pd.DataFrame(
             {
-                "owner_kind": block["owner_kind"],
-                "cell": block["cell"],
-                "salt": block["salt"],
-                "id": block["id"],
-                "vector": block["vector"],
+                "owner_kind": _strings(rows["owner_kind"].tolist()),
+                "block": rows["block"].to_numpy(),
+                "blocks": rows["blocks"].to_numpy(),
+                "id": _strings(ids.tolist()),
+                "vector": pd.Series(raw, dtype=object),
                 "floor": [-b[-1][0] if len(b) == k else -2.0 for b in best],
-                "found": [[{"similarity": -s, "neighbour": n} for s, n in b] for b in best],
+                "found": pd.Series([[{"similarity": -s, "neighbour": n} for s, n in b] for b in best], dtype=object),
             }
         )
 
-    found_type = "array<struct<similarity: double, neighbour: string>>"
-    own = cut(blocked.groupBy("owner_kind", "cell", "salt").applyInPandas(inside, f"owner_kind string, cell int, salt int, id string, vector binary, floor double, found {found_type}"))
-
-    by_kind: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for kind in {c[0] for c in cells}:
-        mine = sorted((c[1:] for c in cells if c[0] == kind))
-        by_kind[kind] = (np.array([c[0] for c in mine]), np.array([c[1] for c in mine]), np.array([c[2] for c in mine]))
-    atlas = spark.sparkContext.broadcast((centroids.astype(np.float64), by_kind))
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        means, known = atlas.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kinds, home, salt, floor = (np.array(batch.column(i).to_pylist(), object if i == 0 else None) for i in (0, 1, 2, 4))
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            rows, to_cell, to_salt = [], [], []
-            for kind in set(kinds.tolist()):
-                cell, radius, blocks = known[kind]
-                mine = np.flatnonzero(kinds == kind)
-                angle = np.arccos(np.clip(x[mine] @ means[cell].T, -1, 1))
-                reach = np.cos(np.maximum(angle - radius - 1e-9, 0)) + _SLACK
-                i, j = np.nonzero(reach >= floor[mine][:, None])
-                for n in range(int(blocks.max())):
-                    go = (blocks[j] > n) & ~((cell[j] == home[mine][i]) & (salt[mine][i] == n))
-                    rows.append(mine[i[go]])
-                    to_cell.append(cell[j[go]])
-                    to_salt.append(np.full(int(go.sum()), n))
-            rows_ = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rows_ * 0 + 1, pa.int32()), pa.array(kinds[rows_].tolist(), pa.string()), pa.array(np.concatenate(to_cell), pa.int32()), pa.array(np.concatenate(to_salt), pa.int32()), batch.column(5).take(pa.array(rows_)), batch.column(3).take(pa.array(rows_)), pa.array(floor[rows_].astype(float), pa.float64())], names=["visitor", "owner_kind", "cell", "salt", "id", "vector", "floor"])
-
-    tile = "visitor int, owner_kind string, cell int, salt int, id string, vector binary, floor double"
-    going = own.select("owner_kind", "cell", "salt", "vector", "floor", "id").mapInArrow(visits, tile)
-    # so many tiles for a block that none gets more than TILE_VISITORS; the block is sent to each of them
-    key = ["owner_kind", "cell", "salt"]
-    tiles = going.groupBy(*key).agg(F.ceil(F.count("*") / TILE_VISITORS).cast("int").alias("tiles"))
-    guests = going.join(tiles, key).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
-    hosts = own.select(F.lit(0).alias("visitor"), *key, "id", "vector", "floor").join(tiles, key).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-
-    def across(rows: pd.DataFrame) -> pd.DataFrame:
-        guest, host = rows[rows["visitor"] == 1], rows[rows["visitor"] == 0]
-        out: list[tuple[str, str, float]] = []
-        if len(guest) and len(host):
-            ids = host["id"].to_numpy(object)
-            names = guest["id"].to_numpy(object)
-            for row, j, c in tile_candidates(_vectors(guest["vector"]), _vectors(host["vector"]), guest["floor"].to_numpy(float), k, False):
-                out += [(names[row], n, -s) for s, n in _best(ids, j, c, k)]
-        kind = rows["owner_kind"].iloc[0]
-        return pd.DataFrame({"owner_kind": [kind] * len(out), "id": [o[0] for o in out], "neighbour": [o[1] for o in out], "similarity": [o[2] for o in out]})
-
-    abroad = guests.unionByName(hosts).groupBy(*key, "tile").applyInPandas(across, _NEIGHBOUR)
+    own = cut(placed.groupBy("owner_kind", "block").applyInPandas(inside, f"owner_kind string, block int, blocks int, id string, vector binary, floor double, found {_FOUND}"))
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        kind = str(rows["owner_kind"].iloc[0])
+        sides = [rows[rows["block"] == b] for b in sorted(rows["block"].unique())]
+        out: dict[str, list] = {"id": [], "neighbour": [], "similarity": []}
+        if len(sides) == 2:
+            ids = [s["id"].to_numpy(object) for s in sides]
+            blocks = [Block(s["vector"].tolist()) for s in sides]
+            floors = [s["floor"].to_numpy(float) for s in sides]
+            heaps: dict[tuple[bool, int], list[tuple[float, str]]] = {}
+            for i, j, c, from_left in across(*blocks, *floors):
+                mine, theirs = (ids[0], ids[1]) if from_left else (ids[1], ids[0])
+                for row, name, s in zip(i.tolist(), theirs[j].tolist(), (-c).tolist()):
+                    heaps.setdefault((from_left, row), []).append((s, name))
+            for (from_left, row), found in heaps.items():
+                for s, name in heapq.nsmallest(k, found):
+                    out["id"].append(ids[0 if from_left else 1][row])
+                    out["neighbour"].append(name)
+                    out["similarity"].append(-s)
+        return pd.DataFrame({"owner_kind": _strings([kind] * len(out["id"])), "id": _strings(out["id"]), "neighbour": _strings(out["neighbour"]), "similarity": pd.Series(out["similarity"], dtype=float)})
+
+    # every block goes to the tiles with all other blocks of its kind
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = own.where("blocks > 1").select("owner_kind", "block", "id", "vector", "floor", other.alias("other")).where("other <> block")
+    tiles = sent.select("owner_kind", "block", "id", "vector", "floor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    abroad = tiles.groupBy("owner_kind", "low", "high").applyInPandas(tile, _NEIGHBOUR)
     at_home = own.select("owner_kind", "id", F.explode("found").alias("f")).select("owner_kind", "id", "f.neighbour", "f.similarity")
-    # a vector has at most k rows from each block that it visited
+    # at most k rows from each block
     merged = at_home.unionByName(abroad).groupBy("owner_kind", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k).alias("best"))
     return merged.select("owner_kind", "id", F.explode("best").alias("b")).select("owner_kind", "id", F.col("b.n").alias("neighbour"), (-F.col("b.s")).alias("similarity"))
 
