@@ -35,7 +35,7 @@ def integrate(schedule: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("source").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("area").over(Window.partitionBy("source"))
     return (
-        area.withColumn("u1", F.sum("area").over(so_far) / total)
+        area.withColumn("u1", F.try_divide(F.sum("area").over(so_far), total))
         .withColumn("u0", F.coalesce(F.lag("u1").over(by.orderBy("t0")), F.lit(0.0)))
         .withColumn("scale", total)
         .where("area > 0")
@@ -92,7 +92,7 @@ def mix(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None,
     pieces = integrate(schedule if schedule is not None else default_schedule(targets))
     slope = (F.col("w1") - F.col("w0")) / (F.col("t1") - F.col("t0"))
     need = (F.col("u") - F.col("u0")) * F.col("scale")
-    step = 2 * need / (F.col("w0") + F.sqrt(F.greatest(F.col("w0") * F.col("w0") + 2 * slope * need, F.lit(0.0))))
+    step = F.try_divide(2 * need, F.col("w0") + F.sqrt(F.greatest(F.col("w0") * F.col("w0") + 2 * slope * need, F.lit(0.0))))
     located = (
         copied.select("doc_id", "source", "copy", "n_tokens", u.alias("u"))
         .join(F.broadcast(pieces), "source")
