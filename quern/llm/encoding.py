@@ -221,7 +221,7 @@ def _utf8_again(model: PairModel, run: str) -> list[tuple[int, int, str]]:
     if not _ANY_SEQUENCE.search(run):
         return []
     for codec in READ_AS:
-        hits, gained = [], 0.0
+        hits, alone, gained = [], [], 0.0
         for m in _SEQUENCES[codec].finditer(run):
             restored = _through(m.group(), codec, "utf-8")
             for _ in range(2):  # encoded twice or three times
@@ -229,11 +229,12 @@ def _utf8_again(model: PairModel, run: str) -> list[tuple[int, int, str]]:
                     restored = _through(again.group(), codec, "utf-8") or restored
             if restored is None or not model.common(restored):
                 continue
-            # a lone Cyrillic letter may be two characters of real Russian text
-            if codec in CYRILLIC and len(restored) < 2 and "Ѐ" <= restored <= "ӿ":
-                continue
-            hits.append((m.start(), m.end(), restored))
-            gained += len(m.group()) - 0.01 * len(restored)
+            # a lone Cyrillic letter may be two characters of real Russian text, unless longer parts stand beside it
+            lone = codec in CYRILLIC and len(restored) < 2 and "Ѐ" <= restored <= "ӿ"
+            (alone if lone else hits).append((m.start(), m.end(), restored))
+            gained += 0 if lone else len(m.group()) - 0.01 * len(restored)
+        if any(len(r) > 1 and "Ѐ" <= r[0] <= "ӿ" for _, _, r in hits):
+            hits = sorted(hits + alone)
         if gained > best[0]:
             best = (gained, hits)
     return best[1]
