@@ -46,7 +46,7 @@ EXEMPLARS = (
     # filler
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
     "your text goes here", "add a caption", "describe the benefit in one sentence", "write a short description of your service", "this is sample text, replace it before you publish", "dummy content for layout tests", "hier steht ein blindtext",
-    "texte de remplissage à modifier", "texto de ejemplo que debe sustituirse", "здесь будет ваш текст", "текст-заполнитель", "untitled document", "untitled", "insert title here", "title placeholder", "placeholder", "new page", "coming soon",
+    "texte de remplissage à modifier", "texto de ejemplo que debe sustituirse", "здесь будет ваш текст", "текст-заполнитель", "untitled document", "untitled", "insert title here", "title placeholder", "placeholder", "new page", "coming soon", "your headline goes here", "sample page", "just a moment", "one moment please",
     "undefined", "null", "nan nan nan", "object object",
 )
 
