@@ -146,6 +146,33 @@ def cleaned(pages: DataFrame, id_column: str = "id", html_column: str = "raw_htm
     return chosen.mapInArrow(run, "id string, title string, clean_html string, text string, images array<struct<url: string, alt: string, width: int, height: int>>")
 
 
+class _Links(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.depth, self.inside, self.all = 0, [], []
+        self.roots: frozenset[str] = frozenset()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        named = dict(attrs)
+        if tag not in VOID and (self.depth or named.get("id") in self.roots):
+            self.depth += 1
+        if tag == "a" and named.get("href"):
+            self.all.append(named["href"])
+            if self.depth:
+                self.inside.append(named["href"])
+
+    def handle_endtag(self, tag: str) -> None:
+        self.depth = max(0, self.depth - 1)
+
+
+def result_links(html: str | None, roots: frozenset[str] = frozenset({"rso", "search", "b_results", "links"})) -> list[str]:
+    """Links of a result page: those inside its result blocks, or all where it has none; each once, in order."""
+    parser = _Links()
+    parser.roots = roots
+    parser.feed(html or "")
+    return list(dict.fromkeys(parser.inside or parser.all))
+
+
 def title_of(html: Column) -> Column:
     """Title by expression alone; entities stay as they are."""
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -105,6 +105,21 @@ def search_url(engine: Column, term: Column, results: int = 0) -> Column:
     return out
 
 
+def destinations(rows: DataFrame, engine: str) -> DataFrame:
+    """(id, url, position): what the raw ``links`` of each row lead to.
+
+    Links are unwrapped; those that are not http(s) or lead to the engine itself are left out, and so are
+    later variants of an address. Positions count from 1 in the order of the links.
+    """
+    _, _, labels, hosts = ENGINES[engine]
+    links = rows.select("id", F.posexplode("links").alias("p", "raw")).select("id", "p", unwrap(F.col("raw")).alias("url"))
+    host = domain_of(F.col("url"))
+    real = links.where(is_http(F.col("url")) & (host != "") & ~skipped_host(host, labels, hosts))
+    first = real.groupBy("id", dedupe_key(F.col("url")).alias("key")).agg(F.min(F.struct("p", "url")).alias("m"))
+    order = Window.partitionBy("id").orderBy("m.p")  # the links of one page
+    return first.select("id", without_fragment(F.col("m.url")).alias("url"), F.row_number().over(order).alias("position"))
+
+
 def resolve(base: str | None, reference: str | None) -> str:
     """Absolute http(s) address of a reference, else the empty string."""
     try:

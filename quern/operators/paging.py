@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.options import clamp_page
-from quern.functions.text import normalize_query
 from quern.operators.records import micros, records
 from quern.runtime import all_of
 
@@ -41,10 +40,8 @@ def facts_page(spark: SparkSession, root: str, q: str | None = None, limit: int
 def cached_searches(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None) -> DataFrame:
     """Cached queries with the number of their results instead of the results."""
     rows = records(spark, root, "search_cache", "query", "query_norm", "tier", "hit_count", F.coalesce(F.size("results"), F.lit(0)).alias("result_count"), "fetched_at")
-    part = holds("query_norm", None)
-    if q:
-        part = F.col("query_norm").ilike(F.concat(F.lit("%"), normalize_query(F.lit(q)), F.lit("%")))
-    return rows.where(all_of([equals("tier", tier), part]))
+    part = " ".join(q.lower().split()) if q else None  # the form that queries are stored in
+    return rows.where(all_of([equals("tier", tier), holds("query_norm", part)]))
 
 
 def cached_searches_page(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:

@@ -184,12 +184,22 @@ def project(vectors: DataFrame, dim: int = 128) -> DataFrame:
 
 def scaled_to_box(points: DataFrame, width: float = 640, height: float = 480, margin: float = 16) -> DataFrame:
     """Points fitted into a box with a margin, y pointing down; an axis without extent goes to the middle."""
-    ends = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
-    joined = points.crossJoin(F.broadcast(ends))  # one row
+    ends = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
     def place(c: str, size: float) -> Column:
-        span = F.col(f"hi_{c}") - F.col(f"lo_{c}")
-        share = (F.col(c) - F.col(f"lo_{c}")) / F.nullif(span, F.lit(0.0))
-        return margin + (F.coalesce(share, F.lit(0.5)) if c == "x" else 1 - F.coalesce(share, F.lit(0.5))) * (size - 2 * margin)
+        low, high = ends[f"lo_{c}"], ends[f"hi_{c}"]
+        share = (F.col(c) - low) / (high - low) if low is not None and high > low else F.lit(0.5)
+        return margin + (share if c == "x" else 1 - share) * (size - 2 * margin)
 
-    return joined.select("owner_kind", "id", place("x", width).alias("px"), place("y", height).alias("py"))
+    return points.select("owner_kind", "id", place("x", width).alias("px"), place("y", height).alias("py"))
+
+
+def parsed_vector(text: Column) -> Column:
+    """A vector from its text, like ``[1,0.5]``; null where a component is no number."""
+    values = F.from_json(text, "array<float>")
+    return F.when(F.exists(values, lambda x: x.isNull()), None).otherwise(values)
+
+
+def vector_text(vector: Column) -> Column:
+    """A vector as text; whole numbers without a point."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ","), F.lit("]"))

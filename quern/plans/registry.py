@@ -304,14 +304,20 @@ def i1_vector_search(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) <= 5")
 def i1_embedding_search(spark: SparkSession, root: str) -> DataFrame:
-    """The 5 nearest of all embeddings, by expressions alone, for every id divisible by 50."""
+    """The 5 nearest of all embeddings for every id divisible by 50."""
     e = read_table(spark, root, "embeddings", ["vec_id", "embedding"])
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    block = asked.agg(F.collect_list(F.struct("query_id", "q")).alias("block")) if asked.count() <= vectors.QUERY_BLOCK else None
-    pairs = e.join(F.broadcast(block)).select("vec_id", "embedding", F.explode("block").alias("a")).select("a.query_id", "a.q", "vec_id", "embedding") if block is not None else e.join(asked)
-    distance = F.round(vectors.cosine_distance(F.col("q"), F.col("embedding")), 5)
-    scored = pairs.select("query_id", F.col("vec_id").alias("id"), distance.alias("distance"))
-    return scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, 5).alias("b")).select("query_id", F.explode("b").alias("b")).select("query_id", "b.id", "b.distance")
+    rows = e.select(F.lit("memory").alias("owner_kind"), F.format_string("%020d", "vec_id").alias("id"), "embedding")  # ids in the order of their numbers
+    asked = e.where("vec_id % 50 = 0").select(F.format_string("%020d", "vec_id").alias("id"), "embedding")
+    found = vectors.search(rows, asked, 5)
+    return found.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), "distance")
+
+
+@query(f"SELECT m.id, round(1 - list_cosine_similarity(m.v, n.v), 5) AS distance FROM {_VECTORS} m JOIN {_VECTORS} n ON n.owner_kind = m.owner_kind AND n.id = (SELECT min(id) FROM {_VECTORS} k WHERE k.owner_kind = m.owner_kind)")
+def i1_distance_to_first(spark: SparkSession, root: str) -> DataFrame:
+    """Distance of every vector to the first of its kind, by expressions alone."""
+    known = vectors.current(read_table(spark, root, "vectors", ["id", "owner_kind", "embedding", "model", "created_at"]))
+    first = known.groupBy("owner_kind").agg(F.min_by("embedding", "id").alias("first"))
+    return known.join(first, "owner_kind").select("id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("first")), 5).alias("distance"))
 
 
 @query(_ASKED.format(k=8) + f"SELECT query_id, f.id, f.text, round(1 - distance, 5) AS similarity FROM found JOIN {_FACTS} f ON f.id = found.id WHERE owner_kind = 'memory' AND round(1 - distance, 5) >= 0.3")
@@ -516,6 +522,17 @@ def k10_canonical_urls(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy(urls.dedupe_key(F.col("url")).alias("key")).agg(F.count("*").alias("variants"), F.min(F.struct("first_seen_at", "id", "url")).alias("m")).select("key", "variants", "m.url")
 
 
+@query(
+    f"""WITH r AS (SELECT id, unnest(range(1, len(results) + 1)) AS p, results FROM {_CACHE}), u AS (SELECT id, p, results[p].url AS url FROM r),
+parts AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS qs FROM u)
+SELECT id, url, CAST(row_number() OVER (PARTITION BY id ORDER BY p) AS INT) AS position FROM (SELECT * FROM parts WHERE host <> '' QUALIFY row_number() OVER (PARTITION BY id, regexp_replace(host || path, '/$', '') || '?' || qs ORDER BY p) = 1)"""
+)
+def k6_destinations(spark: SparkSession, root: str) -> DataFrame:
+    """Stored results as raw links of a result page: unwrapped, without engine hosts, without variants, in order."""
+    links = records(spark, root, "search_cache", "results").select("id", F.transform("results", lambda r: r["url"]).alias("links"))
+    return urls.destinations(links, "google")
+
+
 @query(
     f"""SELECT id, contains(lower(coalesce(landed_url, '')), '/sorry/') OR contains(lower(coalesce(landed_url, '')), 'captcha') AS challenged, blocked FROM {_SEARCHES}"""
 )
