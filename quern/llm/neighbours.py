@@ -23,6 +23,8 @@ BLOCK_ROWS, BROADCAST_KINDS = 4096, 100_000
 DIGITS = 6
 #: Rows of one product, and what rounding to DIGITS and to float32 may add to a similarity.
 TILE_ROWS, _SLACK = 256, 4e-6
+#: Pairs computed again at once: where very many rows tie, memory stays bounded.
+PAIRS_AT_ONCE = 16_384
 
 
 def usable(vectors: DataFrame, model: str = "emb-v1", dim: int = 128) -> DataFrame:
@@ -62,46 +64,69 @@ class Block:
         return product, (1 + mine) * other.error + (mine + np.float32(_SLACK))
 
     def cosines(self, i: np.ndarray, other: Block, j: np.ndarray) -> np.ndarray:
-        return np.round(np.einsum("ij,ij->i", self.x[i], other.x[j]), DIGITS)
+        parts = [np.einsum("ij,ij->i", self.x[i[at : at + PAIRS_AT_ONCE]], other.x[j[at : at + PAIRS_AT_ONCE]]) for at in range(0, len(i), PAIRS_AT_ONCE)]
+        return np.round(np.concatenate(parts), DIGITS) if parts else np.empty(0)
 
 
-def _heaps(rows: np.ndarray, ids: np.ndarray, cosines: np.ndarray, n: int, k: int) -> list[list[tuple[float, str]]]:
-    """The k best (-similarity, id) of each of n rows; ``rows`` ascends."""
-    ends = np.searchsorted(rows, np.arange(n + 1))
-    worth, names = (-cosines).tolist(), ids.tolist()
-    return [heapq.nsmallest(k, zip(worth[a:b], names[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+def _first(rows: np.ndarray, worth: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best entries of each row: least worth, then least rank. However many entries tie, k are left."""
+    order = np.lexsort((rank, worth, rows))
+    ordered = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.empty(0, int)
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(order)]]).astype(int)))
+    return order[place < k]
+
+
+def ranks(ids: np.ndarray) -> np.ndarray:
+    """Place of each id in the order of ids."""
+    out = np.empty(len(ids), np.int64)
+    out[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    return out
 
 
 def within(block: Block, ids: np.ndarray, k: int) -> list[list[tuple[float, str]]]:
-    """The k best other rows of the same block for each row."""
-    out: list[list[tuple[float, str]]] = []
+    """The k best other rows (-similarity, id) of the same block for each row."""
+    out: list[list[tuple[float, str]]] = [[] for _ in ids]
+    rank = ranks(ids)
     for at in range(0, len(ids), TILE_ROWS):
         rows = slice(at, min(at + TILE_ROWS, len(ids)))
         value, error = block.bounds(block, rows)
         own = np.arange(rows.start, rows.stop)
         value[own - at, own] = -9
         if len(ids) > k:
-            least = np.partition(value - error, -k, axis=1)[:, -k, None]
-            possible = value + error >= least
+            possible = value + error >= np.partition(value - error, -k, axis=1)[:, -k, None]
         else:
             possible = np.ones(value.shape, bool)
         possible[own - at, own] = False
         i, j = np.nonzero(possible)
-        out += _heaps(i, ids[j], block.cosines(i + at, block, j), len(own), k)
+        worth = -block.cosines(i + at, block, j)
+        for e in _first(i, worth, rank[j], k).tolist():
+            out[at + i[e]].append((float(worth[e]), ids[j[e]]))
     return out
 
 
-def across(left: Block, right: Block, left_floor: np.ndarray, right_floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Rows, partners and similarities of two blocks that reach the floor of a row; for left rows, then for right rows."""
-    left_floor, right_floor = left_floor.astype(np.float32), right_floor.astype(np.float32)
+def across(left: Block, right: Block, floors: tuple[np.ndarray, np.ndarray], ids: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[tuple[str, str, float]]:
+    """(id, partner, similarity): for the rows of either block the best k rows of the other that reach the row's floor."""
+    left_floor, right_floor = (f.astype(np.float32) for f in floors)
+    left_rank, right_rank = ranks(ids[0]), ranks(ids[1])
+    heaps: dict[int, list[tuple[float, str]]] = {}
     for at in range(0, len(left_floor), TILE_ROWS):
         value, error = left.bounds(right, slice(at, at + TILE_ROWS))
         value += error
-        for possible, from_left in ((value >= left_floor[at : at + TILE_ROWS, None], True), (value >= right_floor, False)):
-            i, j = np.nonzero(possible)
-            if len(i):
-                c = left.cosines(i + at, right, j)
-                yield (i + at, j, c, True) if from_left else (j, i + at, c, False)
+        i, j = np.nonzero(value >= left_floor[at : at + TILE_ROWS, None])
+        worth = -left.cosines(i + at, right, j)
+        for e in _first(i, worth, right_rank[j], k).tolist():
+            yield ids[0][at + i[e]], ids[1][j[e]], -float(worth[e])
+        i, j = np.nonzero(value >= right_floor)
+        worth = -left.cosines(i + at, right, j)
+        for e in _first(j, worth, left_rank[i + at], k).tolist():  # a right row meets the left ones step by step
+            heap = heaps.setdefault(int(j[e]), [])
+            heap.append((float(worth[e]), ids[0][at + i[e]]))
+            if len(heap) > 8 * k:
+                heaps[int(j[e])] = heapq.nsmallest(k, heap)
+    for row, heap in heaps.items():
+        for worth_, name in heapq.nsmallest(k, heap):
+            yield ids[1][row], name, -worth_
 
 
 _NEIGHBOUR = "owner_kind string, id string, neighbour string, similarity double"
@@ -146,21 +171,12 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         kind = str(rows["owner_kind"].iloc[0])
         sides = [rows[rows["block"] == b] for b in sorted(rows["block"].unique())]
-        out: dict[str, list] = {"id": [], "neighbour": [], "similarity": []}
+        found: list[tuple[str, str, float]] = []
         if len(sides) == 2:
-            ids = [s["id"].to_numpy(object) for s in sides]
             blocks = [Block(s["vector"].tolist()) for s in sides]
-            floors = [s["floor"].to_numpy(float) for s in sides]
-            heaps: dict[tuple[bool, int], list[tuple[float, str]]] = {}
-            for i, j, c, from_left in across(*blocks, *floors):
-                mine, theirs = (ids[0], ids[1]) if from_left else (ids[1], ids[0])
-                for row, name, s in zip(i.tolist(), theirs[j].tolist(), (-c).tolist()):
-                    heaps.setdefault((from_left, row), []).append((s, name))
-            for (from_left, row), found in heaps.items():
-                for s, name in heapq.nsmallest(k, found):
-                    out["id"].append(ids[0 if from_left else 1][row])
-                    out["neighbour"].append(name)
-                    out["similarity"].append(-s)
+            floors = tuple(s["floor"].to_numpy(float) for s in sides)
+            found = list(across(*blocks, floors, tuple(s["id"].to_numpy(object) for s in sides), k))
+        out = {"id": [f[0] for f in found], "neighbour": [f[1] for f in found], "similarity": [f[2] for f in found]}
         return pd.DataFrame({"owner_kind": _strings([kind] * len(out["id"])), "id": _strings(out["id"]), "neighbour": _strings(out["neighbour"]), "similarity": pd.Series(out["similarity"], dtype=float)})
 
     # every block goes to the tiles with all other blocks of its kind

@@ -112,6 +112,19 @@ def test_quantisation_bounds_hold():
     assert (np.abs(value - a.x @ b.x.T) <= error).all() and error.max() < 0.05
 
 
+def test_a_third_of_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[:300] = x[0]
+    df = spark.createDataFrame([("m", f"{i:04}", v.tolist()) for i, v in enumerate(x)], "owner_kind string, id string, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, 5).collect():
+        got[r.id].append(r.neighbour)
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 900
+    assert sorted(got["0007"]) == ["0000", "0001", "0002", "0003", "0004"] and sorted(got["0002"]) == ["0000", "0001", "0003", "0004", "0005"]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([("m", "a", [1.0, 0.0]), ("m", "b", [0.0, 1.0]), ("s", "c", [1.0, 0.0])], "owner_kind string, id string, embedding array<float>")
     assert sorted((r.id, r.neighbour) for r in neighbours.nearest(df, 5).collect()) == [("a", "b"), ("b", "a")]
