@@ -60,4 +60,4 @@ def cached_pages(spark: SparkSession, root: str, tier: str | None = None, q: str
 def cached_pages_page(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """Newest fetched first."""
     out = page(cached_pages(spark, root, tier, q), [F.col("fetched_at").desc(), F.col("id").desc()], limit, offset)
-    return out.select("id", "url", "http_status", "title", "tier", "text_chars", "clean_chars", "raw_chars", micros("fetched_at").alias("fetched_us"))
+    return out.select("id", "url", F.coalesce("http_status", F.lit(0)).alias("http_status"), "title", "tier", "text_chars", "clean_chars", "raw_chars", micros("fetched_at").alias("fetched_us"))

@@ -33,7 +33,7 @@ def url_provenance(spark: SparkSession, root: str) -> DataFrame:
     facts = facts_with_presence(spark, root).where("source_url is not null").groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("facts"), F.count_if("has_vector").alias("facts_with_vector"))
     joined = known.join(scraped, "url", "full_outer").join(found, "url", "left").join(facts, "url", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return joined.select("url", "url_id", "scrape_id", zero("found_by"), "best_rank", zero("facts"), zero("facts_with_vector"), (F.col("url_id").isNotNull() | F.col("scrape_id").isNotNull()).alias("known"))
+    return joined.select("url", "url_id", "scrape_id", zero("found_by"), zero("best_rank"), zero("facts"), zero("facts_with_vector"), (F.col("url_id").isNotNull() | F.col("scrape_id").isNotNull()).alias("known"))
 
 
 def capped_links(spark: SparkSession, root: str, most: int) -> DataFrame:

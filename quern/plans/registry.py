@@ -231,14 +231,6 @@ def e16_combined_sources(spark: SparkSession, root: str) -> DataFrame:
     return ways.select("run_id", F.when(F.col("n") == 0, "live").when(F.col("n") == 1, F.col("one")).otherwise("mixed").alias("source"))
 
 
-@query(f"SELECT source_url, string_agg('- ' || text, chr(10) ORDER BY created_at, id) AS joined FROM {_FACTS} WHERE source_url IS NOT NULL GROUP BY source_url")
-def e17_joined_facts(spark: SparkSession, root: str) -> DataFrame:
-    """Facts of each source as one text, oldest first."""
-    rows = records(spark, root, "memory_facts", "text", "source_url", "created_at").where("source_url is not null")
-    listed = F.array_sort(F.collect_list(F.struct("created_at", "id", F.concat(F.lit("- "), "text").alias("t"))))
-    return rows.groupBy("source_url").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("joined"))
-
-
 # ---- pages of the browsable tables
 
 
@@ -255,7 +247,7 @@ def g2_search_cache_page(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, url, http_status, title, tier, CAST(coalesce(length(text_content), 0) AS BIGINT) AS text_chars, CAST(coalesce(length(clean_html), 0) AS BIGINT) AS clean_chars,
+    f"""SELECT id, url, coalesce(http_status, 0) AS http_status, title, tier, CAST(coalesce(length(text_content), 0) AS BIGINT) AS text_chars, CAST(coalesce(length(clean_html), 0) AS BIGINT) AS clean_chars,
 CAST(coalesce(length(raw_html), 0) AS BIGINT) AS raw_chars, epoch_us(fetched_at) AS fetched_us FROM {_PAGES} ORDER BY fetched_at DESC, id DESC LIMIT 100"""
 )
 def g2_scrape_cache_page(spark: SparkSession, root: str) -> DataFrame:
@@ -326,6 +318,14 @@ def i6_retrieved_facts(spark: SparkSession, root: str) -> DataFrame:
     return vectors.retrieved_facts(_asked(spark, root, 8), records(spark, root, "memory_facts", "text"), 0.3)
 
 
+@query(_ASKED.format(k=8) + f"SELECT query_id, string_agg('- ' || f.text, chr(10) ORDER BY distance, f.id) AS joined FROM found JOIN {_FACTS} f ON f.id = found.id WHERE owner_kind = 'memory' AND round(1 - distance, 5) >= 0.3 GROUP BY query_id")
+def e17_joined_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Retrieved facts of each query as one text, nearest first; at most k of them."""
+    found = vectors.retrieved_facts(_asked(spark, root, 8), records(spark, root, "memory_facts", "text"), 0.3)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "id", F.concat(F.lit("- "), "text").alias("t"))))
+    return found.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("joined"))
+
+
 @query(
     _ASKED.format(k=8)
     + f"""SELECT query_id, arg_min(c.id, (distance, c.id)) AS id, arg_min(c.query_norm, (distance, c.id)) AS query_norm, min(distance) AS distance FROM found JOIN {_CACHE} c ON c.id = found.id
@@ -409,7 +409,7 @@ _TERMS = f"(SELECT trim(regexp_replace(lower(term), '\\s+', ' ', 'g')) AS query_
 @query(
     f"""SELECT coalesce(c.id, 'new:' || sha256(t.query_norm)) AS id, coalesce(t.query_norm, c.query_norm) AS query_norm, CASE WHEN t.query_norm IS NULL THEN c.query ELSE t.query END AS query,
 CASE WHEN t.query_norm IS NULL THEN c.tier ELSE 'short' END AS tier, CASE WHEN t.query_norm IS NULL THEN c.hit_count ELSE 0 END AS hit_count,
-CASE WHEN t.query_norm IS NULL THEN epoch_us(c.expires_at) ELSE epoch_us({_AT} + INTERVAL 240 HOUR) END AS expires_us FROM {_CACHE} c FULL JOIN {_TERMS} t USING (query_norm)"""
+CASE WHEN t.query_norm IS NULL THEN coalesce(epoch_us(c.expires_at), 0) ELSE epoch_us({_AT} + INTERVAL 240 HOUR) END AS expires_us FROM {_CACHE} c FULL JOIN {_TERMS} t USING (query_norm)"""
 )
 def j5_stored_searches(spark: SparkSession, root: str) -> DataFrame:
     """The query cache after an answer for every searched term: ids stay, hits and window begin anew."""
@@ -417,29 +417,29 @@ def j5_stored_searches(spark: SparkSession, root: str) -> DataFrame:
     terms = records(spark, root, "searches", "term").groupBy(text.normalize_query(F.col("term")).alias("query_norm")).agg(F.min("term").alias("query"))
     answers = terms.select("query_norm", "query", F.lit(None).cast(dict(cache.dtypes)["results"]).alias("results"), F.lit("short").alias("tier"))
     out = lifecycle.stored_searches(cache, answers, NOW)
-    return out.select("id", "query_norm", "query", "tier", "hit_count", micros("expires_at").alias("expires_us"))
+    return out.select("id", "query_norm", "query", "tier", "hit_count", F.coalesce(micros("expires_at"), F.lit(0)).alias("expires_us"))
 
 
 @query(
     f"""WITH hits AS (SELECT c.id, t.n FROM {_CACHE} c JOIN {_TERMS} t USING (query_norm)),
 moved AS (SELECT c.id, c.tier, h.n IS NOT NULL AS hit, CAST(c.hit_count + coalesce(h.n, 0) AS INT) AS hit_count, c.expires_at FROM {_CACHE} c LEFT JOIN hits h USING (id)),
 risen AS (SELECT *, CASE WHEN hit AND tier = 'short' AND hit_count >= 3 THEN 'long' ELSE tier END AS new_tier FROM moved)
-SELECT id, hit_count, new_tier AS tier, CASE WHEN NOT hit THEN epoch_us(expires_at) WHEN new_tier = 'permanent' THEN NULL WHEN new_tier = 'long' THEN epoch_us({_AT} + INTERVAL 1080 HOUR) ELSE epoch_us({_AT} + INTERVAL 240 HOUR) END AS expires_us FROM risen"""
+SELECT id, hit_count, new_tier AS tier, CASE WHEN NOT hit THEN coalesce(epoch_us(expires_at), 0) WHEN new_tier = 'permanent' THEN 0 WHEN new_tier = 'long' THEN epoch_us({_AT} + INTERVAL 1080 HOUR) ELSE epoch_us({_AT} + INTERVAL 240 HOUR) END AS expires_us FROM risen"""
 )
 def j7_touched_searches(spark: SparkSession, root: str) -> DataFrame:
     """The query cache after every search hit it: hits, promotion and sliding expiry."""
     cache = records(spark, root, "search_cache", "query_norm", "tier", "hit_count", "expires_at")
     terms = records(spark, root, "searches", "term").groupBy(text.normalize_query(F.col("term")).alias("query_norm")).agg(F.count("*").alias("n"))
     hits = cache.select("id", "query_norm").join(terms, "query_norm").select("id", "n")
-    return lifecycle.touched(cache, hits, NOW).select("id", "hit_count", "tier", micros("expires_at").alias("expires_us"))
+    return lifecycle.touched(cache, hits, NOW).select("id", "hit_count", "tier", F.coalesce(micros("expires_at"), F.lit(0)).alias("expires_us"))
 
 
-@query(f"SELECT id, CASE WHEN tier = 'short' AND hit_count >= 3 THEN 'long' ELSE tier END AS tier, CASE WHEN tier = 'permanent' THEN NULL WHEN tier = 'long' OR tier = 'short' AND hit_count >= 3 THEN epoch_us({_AT} + INTERVAL 1080 HOUR) ELSE epoch_us({_AT} + INTERVAL 240 HOUR) END AS expires_us FROM {_PAGES}")
+@query(f"SELECT id, CASE WHEN tier = 'short' AND hit_count >= 3 THEN 'long' ELSE tier END AS tier, CASE WHEN tier = 'permanent' THEN 0 WHEN tier = 'long' OR tier = 'short' AND hit_count >= 3 THEN epoch_us({_AT} + INTERVAL 1080 HOUR) ELSE epoch_us({_AT} + INTERVAL 240 HOUR) END AS expires_us FROM {_PAGES}")
 def j8_next_expiry(spark: SparkSession, root: str) -> DataFrame:
     """Tier and expiry that every page would get by a hit now."""
     rows = records(spark, root, "scrape_cache", "tier", "hit_count")
     tier = tiers.promoted(F.col("tier"), F.col("hit_count"), SETTINGS.tiers)
-    return rows.select("id", tier.alias("tier"), F.unix_micros(tiers.expiry(F.lit(NOW), tier, SETTINGS.tiers)).alias("expires_us"))
+    return rows.select("id", tier.alias("tier"), F.coalesce(F.unix_micros(tiers.expiry(F.lit(NOW), tier, SETTINGS.tiers)), F.lit(0)).alias("expires_us"))
 
 
 @query(
@@ -593,11 +593,10 @@ def k25_thin_pages(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"SELECT source_url, text, volatility FROM {_FACTS} WHERE source_url IS NOT NULL")
 def k29_distilled_facts(spark: SparkSession, root: str) -> DataFrame:
-    """Facts of each source written as a model's JSON answer, and read back from it."""
+    """Every fact written as a model's JSON answer, and read back from it."""
     rows = records(spark, root, "memory_facts", "text", "volatility", "source_url").where("source_url is not null")
-    answer = F.concat(F.lit("Here they are: "), F.to_json(F.collect_list(F.struct("text", "volatility"))), F.lit(" - done"))
-    answers = rows.groupBy("source_url").agg(answer.alias("answer"))
-    return answers.select("source_url", F.explode(text.extracted_facts(F.col("answer"))).alias("f")).select("source_url", "f.text", "f.volatility")
+    answer = F.concat(F.lit("Here they are: "), F.to_json(F.array(F.struct("text", "volatility"))), F.lit(" - done"))
+    return rows.select("source_url", F.explode(text.extracted_facts(answer)).alias("f")).select("source_url", "f.text", "f.volatility")
 
 
 @query()
@@ -720,7 +719,7 @@ def l8_streamed_windows(spark: SparkSession, root: str) -> DataFrame:
     + f""", found AS (SELECT url, count(*) AS found_by, min(rank) AS best_rank FROM linked GROUP BY url),
 facts AS (SELECT source_url AS url, count(*) AS facts, count(*) FILTER (EXISTS (SELECT 1 FROM vectors v WHERE v.owner_kind = 'memory' AND v.id = f.id)) AS facts_with_vector FROM {_FACTS} f WHERE source_url IS NOT NULL GROUP BY source_url),
 u AS (SELECT url, min(id) AS url_id FROM {_URLS} GROUP BY url), p AS (SELECT url, min(id) AS scrape_id FROM {_PAGES} GROUP BY url)
-SELECT coalesce(u.url, p.url, facts.url) AS url, url_id, scrape_id, coalesce(found_by, 0) AS found_by, best_rank, coalesce(facts, 0) AS facts, coalesce(facts_with_vector, 0) AS facts_with_vector, url_id IS NOT NULL OR scrape_id IS NOT NULL AS known
+SELECT coalesce(u.url, p.url, facts.url) AS url, url_id, scrape_id, coalesce(found_by, 0) AS found_by, coalesce(best_rank, 0) AS best_rank, coalesce(facts, 0) AS facts, coalesce(facts_with_vector, 0) AS facts_with_vector, url_id IS NOT NULL OR scrape_id IS NOT NULL AS known
 FROM u FULL JOIN p ON p.url = u.url LEFT JOIN found ON found.url = coalesce(u.url, p.url) FULL JOIN facts ON facts.url = coalesce(u.url, p.url)"""
 )
 def m1_url_provenance(spark: SparkSession, root: str) -> DataFrame:

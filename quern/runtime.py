@@ -8,7 +8,6 @@ import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +51,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Keep a result that several branches read; blocks of a lost executor are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def newest(df: DataFrame, key: str | list[str], order: str, *payload: str) -> DataFrame:
     """One row per ``key``: the values of ``payload`` in the row with the greatest ``order``.
 
