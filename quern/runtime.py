@@ -51,6 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``rows`` rows, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def newest(df: DataFrame, key: str | list[str], order: str, *payload: str) -> DataFrame:
     """One row per ``key``: the values of ``payload`` in the row with the greatest ``order``.
 
