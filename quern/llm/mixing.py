@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import if_small
+
 #: Rows of a source are spread over so many hash ranges, so that no running sum sees a whole source.
-RANGES_PER_SOURCE = 256
+RANGES_PER_SOURCE = 256  # the top 8 bits of the hash
 
 
 def default_schedule(targets: DataFrame) -> DataFrame:
@@ -73,16 +75,16 @@ def mix(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None,
     targets = targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
     sized = sized.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     plan = _demand(sized, targets, total_tokens).where("demand > 0")
-    keyed = sized.where("n_tokens > 0").join(F.broadcast(plan.select("source")), "source", "left_semi")
+    keyed = sized.where("n_tokens > 0").join(if_small(plan.select("source")), "source", "left_semi")
     keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright("h", 56))
     sums = keyed.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))  # RANGES_PER_SOURCE rows a source at most
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "range", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        keyed.join(F.broadcast(offsets), ["source", "range"])
+        keyed.join(if_small(offsets), ["source", "range"])
         .withColumn("begin", F.col("offset") + F.sum("n_tokens").over(within) - F.col("n_tokens"))
-        .join(F.broadcast(plan), "source")
+        .join(if_small(plan), "source")
     )
     passes = F.floor(F.col("demand") / F.col("supply")).cast("int")
     rest = F.col("demand") - passes * F.col("supply")
@@ -95,7 +97,7 @@ def mix(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None,
     step = F.try_divide(2 * need, F.col("w0") + F.sqrt(F.greatest(F.col("w0") * F.col("w0") + 2 * slope * need, F.lit(0.0))))
     located = (
         copied.select("doc_id", "source", "copy", "n_tokens", u.alias("u"))
-        .join(F.broadcast(pieces), "source")
+        .join(if_small(pieces), "source")
         .where("u >= u0 and (u < u1 or (u1 >= 1 - 1e-9 and u >= u0))")
         .withColumn("position", F.coalesce(F.col("t0") + step, F.col("t0")))
     )
@@ -111,7 +113,7 @@ def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame, total_tokens:
     sized = sized.select("source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     plan = _demand(sized, targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")), total_tokens)
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.max("copy").alias("max_uses"))
-    joined = plan.join(F.broadcast(used), "source", "left")
+    joined = plan.join(if_small(used), "source", "left")
     tokens = F.coalesce("tokens", F.lit(0))
     return joined.select(
         "source",
