@@ -9,6 +9,7 @@ from quern.config import NODE_KINDS, Observability
 from quern.operators.records import records
 from quern.operators.runs import linked
 from quern.operators.stats import zero_filled
+from quern.runtime import cut
 
 
 def fact_vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -48,7 +49,7 @@ def capped_links(spark: SparkSession, root: str, most: int) -> DataFrame:
 
 def causality(spark: SparkSession, root: str, most: int = Observability().causality_max_urls) -> tuple[DataFrame, DataFrame]:
     """Nodes (run_id, id, kind, ref_id, label, detail, has_vector) and edges (run_id, source, target, rank) of every run."""
-    links = capped_links(spark, root, most)
+    links = cut(capped_links(spark, root, most))  # the join of the large tables runs once for all that follows
     urls = links.select("run_id", "url_id", "url").distinct()
     scrapes = urls.join(records(spark, root, "scrape_cache", "url", "title", "http_status").withColumnRenamed("id", "scrape_id"), "url")
     facts = records(spark, root, "memory_facts", "text", "source_url", "volatility").join(facts_with_presence(spark, root).select("id", "has_vector"), "id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.config import TIERS
 from quern.operators.records import records
+from quern.runtime import cut
 
 COUNTED = ("runs", "searches", "urls", "scrape_cache", "memory_facts", "search_cache")
 
@@ -53,14 +54,32 @@ def tier_counts(spark: SparkSession, root: str, table: str) -> DataFrame:
     return zero_filled(records(spark, root, table, "tier").groupBy("tier").agg(F.count("*").alias("n")), "tier", TIERS)
 
 
+def cache_profile(spark: SparkSession, root: str, table: str, now: datetime) -> DataFrame:
+    """One row for each tier: rows, hits, rows with hits, expired rows; for pages also their sizes. One scan."""
+    sizes = {"text": "text_content", "raw": "raw_html"} if table == "scrape_cache" else {}
+    rows = records(spark, root, table, "tier", "hit_count", "expires_at", *[F.length(c).alias(n) for n, c in sizes.items()])
+    measures = [F.count("*").alias("rows"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_hits"), F.count_if(F.col("hit_count") > 0).alias("rows_with_hits"), F.count_if(F.col("expires_at") < F.lit(now)).alias("expired")]
+    for n in sizes:
+        measures += [F.sum(n).alias(f"{n}_sum"), F.count(n).alias(f"{n}_count"), F.max(n).cast("bigint").alias(f"{n}_max")]
+    return rows.groupBy("tier").agg(*measures)
+
+
 def snapshot(spark: SparkSession, root: str, now: datetime) -> DataFrame:
-    """(metric, value) of everything the store can say about itself."""
-    out = table_counts(spark, root)
-    sizes = scrape_sizes(spark, root)
-    out = out.unionByName(sizes.unpivot([], sizes.columns, "metric", "value"))
+    """(metric, value) of everything the store can say about itself; each cache is scanned once."""
+    out = None
+    for table in ("runs", "searches", "urls", "memory_facts", "vectors"):
+        one = records(spark, root, table).agg(F.count("*").alias("value")).select(F.lit(table).alias("metric"), "value")
+        out = one if out is None else out.unionByName(one)
     for table in ("search_cache", "scrape_cache"):
-        one = cache_stats(spark, root, table, now)
-        long = one.unpivot([], one.columns, "metric", "value")
-        out = out.unionByName(long.select(F.concat(F.lit(f"{table}."), "metric").alias("metric"), "value"))
-        out = out.unionByName(tier_counts(spark, root, table).select(F.concat(F.lit(f"{table}.tier."), "tier").alias("metric"), F.col("n").alias("value")))
+        profile = cut(cache_profile(spark, root, table, now))  # a row for each tier
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"{table}.{c}")  # noqa: B023, E731
+        measures = [F.coalesce(F.sum("rows"), F.lit(0)).alias(table), *[total(c) for c in ("rows", "total_hits", "rows_with_hits", "expired")]]
+        for n in ("text", "raw") if table == "scrape_cache" else ():
+            mean = F.coalesce(F.floor(F.try_divide(F.sum(f"{n}_sum"), F.sum(f"{n}_count"))), F.lit(0)).cast("bigint")
+            measures += [mean.alias(f"{n}_avg_chars"), F.coalesce(F.max(f"{n}_max"), F.lit(0)).cast("bigint").alias(f"{n}_max_chars")]
+        one = profile.agg(*measures)
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("bigint").alias("value")) for c in one.columns]))
+        out = out.unionByName(one.select(pairs.alias("p")).select("p.metric", "p.value"))
+        tiers = zero_filled(profile.select("tier", F.col("rows").alias("n")), "tier", TIERS)
+        out = out.unionByName(tiers.select(F.concat(F.lit(f"{table}.tier."), F.coalesce("tier", F.lit(""))).alias("metric"), F.col("n").alias("value")))
     return out

@@ -199,7 +199,22 @@ def e10_page_cache_stats(spark: SparkSession, root: str) -> DataFrame:
     return stats.cache_stats(spark, root, "scrape_cache", NOW)
 
 
-@query()
+def _profile_sql(table: str, rows: str) -> str:
+    parts = [f"SELECT '{table}' AS metric, count(*) AS value FROM {rows}", f"SELECT '{table}.rows', count(*) FROM {rows}", f"SELECT '{table}.total_hits', CAST(coalesce(sum(hit_count), 0) AS BIGINT) FROM {rows}", f"SELECT '{table}.rows_with_hits', count(*) FILTER (hit_count > 0) FROM {rows}", f"SELECT '{table}.expired', count(*) FILTER (expires_at < {_AT}) FROM {rows}"]
+    parts += [f"SELECT '{table}.tier.{t}', count(*) FILTER (tier = '{t}') FROM {rows}" for t in ("short", "long", "permanent")]
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "SELECT metric, value FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS metric, count(DISTINCT id) AS value FROM {t}" for t in ("runs", "searches", "urls", "memory_facts"))
+    + " UNION ALL SELECT 'vectors', count(*) FROM (SELECT DISTINCT owner_kind, id, model FROM vectors) UNION ALL "
+    + _profile_sql("search_cache", _CACHE)
+    + " UNION ALL "
+    + _profile_sql("scrape_cache", _PAGES)
+    + "".join(f" UNION ALL SELECT '{n}_avg_chars', CAST(floor(avg(length({c}))) AS BIGINT) FROM {_PAGES} UNION ALL SELECT '{n}_max_chars', CAST(max(length({c})) AS BIGINT) FROM {_PAGES}" for n, c in (("text", "text_content"), ("raw", "raw_html")))
+    + ")"
+)
 def e13_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Everything the store can say about itself, as metrics."""
     return stats.snapshot(spark, root, NOW)
@@ -552,7 +567,10 @@ def k14_landed_queries(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", landed.alias("landed"), text.same_query(landed, F.col("term")).alias("same"))
 
 
-@query()
+@query(
+    f"""SELECT id, CASE engine WHEN 'google' THEN 'https://www.google.com/search?q=' || t || '&num=20' WHEN 'bing' THEN 'https://www.bing.com/search?q=' || t || '&count=20' WHEN 'duckduckgo' THEN 'https://duckduckgo.com/?q=' || t END AS search_url
+FROM (SELECT id, engine, replace(url_encode(term), '%20', '+') AS t FROM {_SEARCHES})"""
+)
 def k15_search_urls(spark: SparkSession, root: str) -> DataFrame:
     """Result page of every term on its engine, with 20 results asked for."""
     return records(spark, root, "searches", "engine", "term").select("id", urls.search_url(F.col("engine"), F.col("term"), 20).alias("search_url"))
@@ -737,34 +755,32 @@ facts AS (SELECT r.run_id, r.url_id, f.id, f.text, f.volatility, EXISTS (SELECT
 )
 
 
-@query(
-    _GRAPH
-    + """SELECT run_id, 'search:' || search_id AS source, 'url:' || url_id AS target, rank FROM capped UNION ALL SELECT run_id, 'url:' || url_id, 'scrape:' || id, 0 FROM scrapes UNION ALL SELECT run_id, 'url:' || url_id, 'fact:' || id, 0 FROM facts"""
-)
+_EDGES = """SELECT run_id, 'search:' || search_id AS source, 'url:' || url_id AS target, rank FROM capped UNION ALL SELECT run_id, 'url:' || url_id, 'scrape:' || id, 0 FROM scrapes UNION ALL SELECT run_id, 'url:' || url_id, 'fact:' || id, 0 FROM facts"""
+_NODES = f"""SELECT run_id, 'search:' || id AS id, 'search' AS kind, id AS ref_id, engine || ' · ' || term AS label, search_mode AS detail, false AS has_vector FROM {_SEARCHES}
+UNION ALL SELECT run_id, 'url:' || url_id, 'url', url_id, url, '', false FROM run_urls
+UNION ALL SELECT DISTINCT run_id, 'scrape:' || id, 'scrape', id, coalesce(nullif(title, ''), url), 'HTTP ' || coalesce(http_status, 0), false FROM scrapes
+UNION ALL SELECT DISTINCT run_id, 'fact:' || id, 'fact', id, text, coalesce(volatility, ''), has_vector FROM facts"""
+
+
+@query(_GRAPH + _EDGES)
 def m2_causality_edges(spark: SparkSession, root: str) -> DataFrame:
     """Edges of the causality graph of every run."""
     return provenance.causality(spark, root)[1]
 
 
-@query(
-    _GRAPH
-    + f"""SELECT run_id, 'search:' || id AS id, 'search' AS kind, id AS ref_id, engine || ' · ' || term AS label, search_mode AS detail, false AS has_vector FROM {_SEARCHES}
-UNION ALL SELECT run_id, 'url:' || url_id, 'url', url_id, url, '', false FROM run_urls
-UNION ALL SELECT DISTINCT run_id, 'scrape:' || id, 'scrape', id, coalesce(nullif(title, ''), url), 'HTTP ' || coalesce(http_status, 0), false FROM scrapes
-UNION ALL SELECT DISTINCT run_id, 'fact:' || id, 'fact', id, text, coalesce(volatility, ''), has_vector FROM facts"""
-)
+@query(_GRAPH + _NODES)
 def m2_causality_nodes(spark: SparkSession, root: str) -> DataFrame:
     """Nodes of the causality graph of every run."""
     return provenance.causality(spark, root)[0]
 
 
-@query()
+@query(_GRAPH + f"SELECT k.kind, count(n.kind) AS n FROM (VALUES ('search'), ('url'), ('scrape'), ('fact')) k(kind) LEFT JOIN ({_NODES}) n ON n.kind = k.kind GROUP BY k.kind")
 def e12_node_counts(spark: SparkSession, root: str) -> DataFrame:
     """Nodes of all graphs by kind."""
     return provenance.node_counts(provenance.causality(spark, root)[0])
 
 
-@query()
+@query(_GRAPH + f", edges AS ({_EDGES}) SELECT a.run_id, a.source AS search, a.target || coalesce('/' || b.target, '') AS path FROM edges a LEFT JOIN edges b ON b.run_id = a.run_id AND b.source = a.target WHERE a.source LIKE 'search:%'")
 def m3_trees(spark: SparkSession, root: str) -> DataFrame:
     """The graphs as trees below their searches."""
     return provenance.tree(*provenance.causality(spark, root))
