@@ -49,7 +49,7 @@ def _scan(vectors: DataFrame, names: list[str], matrix: np.ndarray, k: int) -> D
             kinds, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             x = np.asarray(batch.column(2).flatten(), np.float64).reshape(len(ids), -1)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            distance = np.round(1 - q @ x.T, DIGITS)
+            distance = np.round(1 - q @ x.T, DIGITS) + 0.0  # no negative zero
             order = np.array(ids, object)
             for kind in set(kinds):
                 mine = np.array([i for i, v in enumerate(kinds) if v == kind])

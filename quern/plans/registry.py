@@ -298,7 +298,7 @@ def _asked(spark: SparkSession, root: str, k: int) -> DataFrame:
 
 _ASKED = f"""WITH known AS {_VECTORS},
 asked AS (SELECT id AS query_id, v AS q FROM known WHERE owner_kind = 'search' AND CAST('0x' || right(id, 8) AS BIGINT) % 50 = 0),
-scored AS (SELECT query_id, owner_kind, id, round(1 - list_cosine_similarity(q, v), 5) AS distance FROM asked, known),
+scored AS (SELECT query_id, owner_kind, id, round(1 - list_cosine_similarity(q, v), 5) + 0.0 AS distance FROM asked, known),
 found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, owner_kind ORDER BY distance, id) AS INT) AS position FROM scored QUALIFY position <= {{k}})
 """
 
@@ -309,7 +309,7 @@ def i1_vector_search(spark: SparkSession, root: str) -> DataFrame:
     return _asked(spark, root, 8)
 
 
-@query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) <= 5")
+@query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) + 0.0 AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) <= 5")
 def i1_embedding_search(spark: SparkSession, root: str) -> DataFrame:
     """The 5 nearest of all embeddings for every id divisible by 50."""
     e = read_table(spark, root, "embeddings", ["vec_id", "embedding"])
@@ -319,12 +319,12 @@ def i1_embedding_search(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), "distance")
 
 
-@query(f"SELECT m.id, round(1 - list_cosine_similarity(m.v, n.v), 5) AS distance FROM {_VECTORS} m JOIN {_VECTORS} n ON n.owner_kind = m.owner_kind AND n.id = (SELECT min(id) FROM {_VECTORS} k WHERE k.owner_kind = m.owner_kind)")
+@query(f"SELECT m.id, round(1 - list_cosine_similarity(m.v, n.v), 5) + 0.0 AS distance FROM {_VECTORS} m JOIN {_VECTORS} n ON n.owner_kind = m.owner_kind AND n.id = (SELECT min(id) FROM {_VECTORS} k WHERE k.owner_kind = m.owner_kind)")
 def i1_distance_to_first(spark: SparkSession, root: str) -> DataFrame:
     """Distance of every vector to the first of its kind, by expressions alone."""
     known = vectors.current(read_table(spark, root, "vectors", ["id", "owner_kind", "embedding", "model", "created_at"]))
     first = known.groupBy("owner_kind").agg(F.min_by("embedding", "id").alias("first"))
-    return known.join(first, "owner_kind").select("id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("first")), 5).alias("distance"))
+    return known.join(first, "owner_kind").select("id", (F.round(vectors.cosine_distance(F.col("embedding"), F.col("first")), 5) + 0.0).alias("distance"))
 
 
 @query(_ASKED.format(k=8) + f"SELECT query_id, f.id, f.text, round(1 - distance, 5) AS similarity FROM found JOIN {_FACTS} f ON f.id = found.id WHERE owner_kind = 'memory' AND round(1 - distance, 5) >= 0.3")
