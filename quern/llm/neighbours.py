@@ -187,7 +187,7 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     at_home = own.select("owner_kind", "id", F.explode("found").alias("f")).select("owner_kind", "id", "f.neighbour", "f.similarity")
     # at most k rows from each block
     merged = at_home.unionByName(abroad).groupBy("owner_kind", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k).alias("best"))
-    return merged.select("owner_kind", "id", F.explode("best").alias("b")).select("owner_kind", "id", F.col("b.n").alias("neighbour"), (-F.col("b.s")).alias("similarity"))
+    return merged.select("owner_kind", "id", F.explode("best").alias("b")).select("owner_kind", "id", F.col("b.n").alias("neighbour"), (0.0 - F.col("b.s")).alias("similarity"))
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ WITH usable AS (
   SELECT owner_kind, id, CAST(arg_max(embedding, created_at) AS DOUBLE[]) AS v FROM vectors
   WHERE model = 'emb-v1' AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY owner_kind, id),
 ranked AS (
-  SELECT a.owner_kind, a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity,
+  SELECT a.owner_kind, a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS similarity,
     row_number() OVER (PARTITION BY a.owner_kind, a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) AS r
   FROM usable a JOIN usable b ON a.owner_kind = b.owner_kind AND a.id <> b.id)
 """
