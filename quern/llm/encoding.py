@@ -271,6 +271,19 @@ def _other_table(model: PairModel, run: str) -> list[tuple[int, int, str]]:
 
 
 _ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
+_CONTROLS = re.compile(r"[\x80-\x9f]")
+
+
+def _controls(model: PairModel, text: str, changes: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], int]:
+    """Control characters left over, as the characters that one table of Windows has in their place; how many have none."""
+    inside = [range(a, b) for a, b, _ in changes]
+    left = [m.start() for m in _CONTROLS.finditer(text) if not _quoted(text, m.start(), m.end()) and not any(m.start() in r for r in inside)]
+    best: list[tuple[int, int, str]] = []
+    for codec in ("cp1252", "cp1251", "cp1250"):
+        found = [(i, i + 1, c) for i in left if model.common(c := _CHARS[codec][ord(text[i])])]
+        if len(found) > len(best):
+            best = found
+    return best, len(left) - len(best)
 
 
 def repair(model: PairModel, text: str | None) -> tuple[bool, str | None, int]:
@@ -299,6 +312,9 @@ def repair(model: PairModel, text: str | None) -> tuple[bool, str | None, int]:
             if not _quoted(text, start + a, start + b):
                 changes.append((start + a, start + b, restored))
                 last = start + b
+    if _CONTROLS.search(text):
+        more, lost_too = _controls(model, text, changes)
+        changes, lost = sorted(changes + more), lost + lost_too
     out, at = [], 0
     for a, b, restored in changes:
         if a >= at:

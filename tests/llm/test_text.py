@@ -131,6 +131,12 @@ def test_round_trip_of_wrong_encodings(pairs, right, wrong):
     assert same > (0.99 if right == "utf-8" else 0.9)
 
 
+def test_left_over_controls(pairs):
+    assert encoding.repair(pairs, "he said \x93yes\x94 for \x805") == (True, "he said “yes” for €5", 0)
+    assert encoding.repair(pairs, "costs \x885 now") == (True, "costs €5 now", 0)
+    assert encoding.repair(pairs, "odd \x81 mark") == (True, "odd \x81 mark", 1)
+
+
 def test_clean_and_quoted_texts_stay(pairs):
     for text in [*FACTS, None, "", "ascii only", "The sequence “Ã©” appears when bytes are misread.", "Where the mark “�” stands"]:
         assert encoding.repair(pairs, text) == (False, text, 0)
