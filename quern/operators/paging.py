@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.options import clamp_page
 from quern.operators.records import micros, records
-from quern.runtime import all_of
+from quern.runtime import all_of, newest, read_table
 
 
 def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -51,13 +51,23 @@ def cached_searches_page(spark: SparkSession, root: str, tier: str | None = None
 
 
 def cached_pages(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None, run_id: str | None = None) -> DataFrame:
-    """Cached pages with sizes instead of bodies."""
-    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint")
-    rows = records(spark, root, "scrape_cache", "url", "run_id", "http_status", "title", "tier", "hit_count", "fetched_at", size("text_content").alias("text_chars"), size("clean_html").alias("clean_chars"), size("raw_html").alias("raw_chars"))
+    """Cached pages without their bodies, which are not read."""
+    rows = records(spark, root, "scrape_cache", "url", "run_id", "http_status", "title", "tier", "hit_count", "fetched_at")
     return rows.where(all_of([equals("tier", tier), holds("url", q), equals("run_id", run_id)]))
 
 
 def cached_pages_page(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
-    """Newest fetched first."""
-    out = page(cached_pages(spark, root, tier, q), [F.col("fetched_at").desc(), F.col("id").desc()], limit, offset)
-    return out.select("id", "url", F.coalesce("http_status", F.lit(0)).alias("http_status"), "title", "tier", "text_chars", "clean_chars", "raw_chars", micros("fetched_at").alias("fetched_us"))
+    """Newest fetched first, with sizes.
+
+    The rows of the page are found without bodies; their ids, 500 at most, then go to the scan as a filter, so
+    that sizes are only worked out where row groups can hold one of them.
+    """
+    newest_first = [F.col("fetched_at").desc(), F.col("id").desc()]
+    top = page(cached_pages(spark, root, tier, q), newest_first, limit, offset)
+    ids = [r.id for r in top.select("id").collect()]
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint")
+    bodies = read_table(spark, root, "scrape_cache").where(F.col("id").isin(ids))
+    sized = bodies.select("id", "updated_at", "url", F.coalesce("http_status", F.lit(0)).alias("http_status"), "title", "tier", size("text_content").alias("text_chars"), size("clean_html").alias("clean_chars"), size("raw_html").alias("raw_chars"), "fetched_at")
+    payload = [c for c in sized.columns if c not in ("id", "updated_at")]
+    out = newest(sized, "id", "updated_at", *payload).orderBy(*newest_first)
+    return out.select("id", *payload[:-1], micros("fetched_at").alias("fetched_us"))

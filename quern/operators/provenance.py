@@ -37,25 +37,25 @@ def url_provenance(spark: SparkSession, root: str) -> DataFrame:
     return joined.select("url", "url_id", "scrape_id", zero("found_by"), zero("best_rank"), zero("facts"), zero("facts_with_vector"), (F.col("url_id").isNotNull() | F.col("scrape_id").isNotNull()).alias("known"))
 
 
-def capped_links(spark: SparkSession, root: str, most: int) -> DataFrame:
+def capped_links(spark: SparkSession, root: str, most: int, run_id: str | None = None) -> DataFrame:
     """The first ``most`` links of each run by rank and address, and whether there were more.
 
     The cap bounds the graph of a run; it is applied with a group limit before the sort.
     """
     order = Window.partitionBy("run_id").orderBy("rank", "url", "search_id")
-    ranked = linked(spark, root, "term", "engine", "search_mode").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most + 1)
+    ranked = linked(spark, root, "term", "engine", "search_mode", run_id=run_id).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most + 1)
     return ranked.withColumn("truncated", F.max("n").over(Window.partitionBy("run_id")) > most).where(F.col("n") <= most)
 
 
-def causality(spark: SparkSession, root: str, most: int = Observability().causality_max_urls) -> tuple[DataFrame, DataFrame]:
-    """Nodes (run_id, id, kind, ref_id, label, detail, has_vector) and edges (run_id, source, target, rank) of every run."""
-    links = cut(capped_links(spark, root, most))  # the join of the large tables runs once for all that follows
+def causality(spark: SparkSession, root: str, most: int = Observability().causality_max_urls, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (run_id, id, kind, ref_id, label, detail, has_vector) and edges (run_id, source, target, rank) of every run, or of one."""
+    links = cut(capped_links(spark, root, most, run_id))  # the join of the large tables runs once for all that follows
     urls = links.select("run_id", "url_id", "url").distinct()
     scrapes = urls.join(records(spark, root, "scrape_cache", "url", "title", "http_status").withColumnRenamed("id", "scrape_id"), "url")
     facts = records(spark, root, "memory_facts", "text", "source_url", "volatility").join(facts_with_presence(spark, root).select("id", "has_vector"), "id")
     sourced = urls.join(facts.select(F.col("id").alias("fact_id"), "text", "volatility", "has_vector", F.col("source_url").alias("url")), "url")
     node = lambda kind, ref: F.concat(F.lit(f"{kind}:"), ref)
-    searches = records(spark, root, "searches", "run_id", "term", "engine", "search_mode")
+    searches = records(spark, root, "searches", "run_id", "term", "engine", "search_mode", where=F.col("run_id") == run_id if run_id is not None else None)
     no = F.lit(False).alias("has_vector")
     nodes = (
         searches.select("run_id", node("search", F.col("id")).alias("id"), F.lit("search").alias("kind"), F.col("id").alias("ref_id"), F.concat_ws(" · ", "engine", "term").alias("label"), F.col("search_mode").alias("detail"), no)

@@ -12,14 +12,18 @@ KEYS = {"vectors": ("owner_kind", "id", "model")}
 VERSIONED = ("scrape_cache", "memory_facts", "search_cache")
 
 
-def records(spark: SparkSession, root: str, table: str, *columns: str | Column) -> DataFrame:
+def records(spark: SparkSession, root: str, table: str, *columns: str | Column, where: Column | None = None) -> DataFrame:
     """The records of ``table`` with ``columns`` (names or expressions; the key is always there).
 
     Expressions are worked out before rows are deduplicated, so that a size is shuffled and not the text.
+    ``where`` is applied even before that, so that it reaches the scan; it may only look at columns that do not
+    change between the deliveries of a record, like its url or its run.
     """
     key = KEYS.get(table, ("id",))
     names = [c for c in columns if not (isinstance(c, str) and c in key)]
     rows = read_table(spark, root, table)
+    if where is not None:
+        rows = rows.where(where)
     if table in VERSIONED:
         shaped = rows.select(*key, F.col("updated_at").alias("__order"), *names)
         payload = [c for c in shaped.columns if c not in (*key, "__order")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import normalize_query
@@ -15,14 +15,19 @@ def first_links(links: DataFrame) -> DataFrame:
     return links.groupBy("search_id", "url_id").agg(F.min("rank").alias("rank"))
 
 
-def linked(spark: SparkSession, root: str, *search_columns: str) -> DataFrame:
+def _is(column: str, value: str | None) -> Column | None:
+    return F.col(column) == value if value is not None else None
+
+
+def linked(spark: SparkSession, root: str, *search_columns: str, run_id: str | None = None, url: str | None = None) -> DataFrame:
     """Every link with its search and its URL: search_id, url_id, rank, url, domain, run_id and ``search_columns``.
 
-    The links are the large side; they are reduced before either join.
+    The links are the large side; they are reduced before either join. A run or a URL narrows the scans of
+    searches and URLs.
     """
     links = first_links(records(spark, root, "search_urls", "search_id", "url_id", "rank"))
-    searches = records(spark, root, "searches", "run_id", *search_columns).withColumnRenamed("id", "search_id")
-    urls = records(spark, root, "urls", "url", "domain").withColumnRenamed("id", "url_id")
+    searches = records(spark, root, "searches", "run_id", *search_columns, where=_is("run_id", run_id)).withColumnRenamed("id", "search_id")
+    urls = records(spark, root, "urls", "url", "domain", where=_is("url", url)).withColumnRenamed("id", "url_id")
     return links.join(searches, "search_id").join(urls, "url_id")
 
 
@@ -31,23 +36,23 @@ def distinct_urls(spark: SparkSession, root: str) -> DataFrame:
     return linked(spark, root).select("run_id", "url").distinct()
 
 
-def run_urls(spark: SparkSession, root: str) -> DataFrame:
+def run_urls(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """(run_id, url_id, url, domain, best_rank): each address of a run at the best rank any search gave it."""
-    return linked(spark, root).groupBy("run_id", "url_id", "url", "domain").agg(F.min("rank").alias("best_rank"))
+    return linked(spark, root, run_id=run_id).groupBy("run_id", "url_id", "url", "domain").agg(F.min("rank").alias("best_rank"))
 
 
-def searches_finding_url(spark: SparkSession, root: str) -> DataFrame:
-    """For every address the searches that found it."""
-    found = linked(spark, root, "term", "engine", "search_mode")
+def searches_finding_url(spark: SparkSession, root: str, url: str | None = None) -> DataFrame:
+    """For every address, or for one, the searches that found it."""
+    found = linked(spark, root, "term", "engine", "search_mode", url=url)
     return found.select("url", "search_id", "run_id", "term", "engine", "search_mode", "rank")
 
 
-def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """(id, mode, searches, urls, scrapes) of every run; counts are 0 where there is nothing."""
-    runs = records(spark, root, "runs", "mode")
-    searches = records(spark, root, "searches", "run_id").groupBy("run_id").agg(F.count("*").alias("searches"))
-    urls = linked(spark, root).groupBy("run_id").agg(F.count_distinct("url_id").alias("urls"))
-    scrapes = records(spark, root, "scrape_cache", "run_id").where("run_id is not null").groupBy("run_id").agg(F.count("*").alias("scrapes"))
+def list_runs(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """(id, mode, searches, urls, scrapes) of every run, or of one; counts are 0 where there is nothing."""
+    runs = records(spark, root, "runs", "mode", where=_is("id", run_id))
+    searches = records(spark, root, "searches", "run_id", where=_is("run_id", run_id)).groupBy("run_id").agg(F.count("*").alias("searches"))
+    urls = linked(spark, root, run_id=run_id).groupBy("run_id").agg(F.count_distinct("url_id").alias("urls"))
+    scrapes = records(spark, root, "scrape_cache", "run_id", where=_is("run_id", run_id)).where("run_id is not null").groupBy("run_id").agg(F.count("*").alias("scrapes"))
     out = runs.withColumnRenamed("id", "run_id")
     for counts in (searches, urls, scrapes):
         out = out.join(counts, "run_id", "left")

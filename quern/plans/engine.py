@@ -35,20 +35,20 @@ class Engine:
 
     def run(self, run_id: str) -> DataFrame:
         """One run; the filter reaches the scans of all that it is joined with."""
-        return self.runs().where(F.col("id") == run_id)
+        return runs.list_runs(self.spark, self.root, run_id)
 
     def run_urls(self, run_id: str) -> DataFrame:
-        return runs.run_urls(self.spark, self.root).where(F.col("run_id") == run_id).orderBy("best_rank", "url")
+        return runs.run_urls(self.spark, self.root, run_id).orderBy("best_rank", "url")
 
     def run_searches(self, run_id: str) -> DataFrame:
-        return self._records("searches", "run_id", "term", "engine", "search_mode", "landed_url", "http_status", "blocked", "anchor_count", "created_at").where(F.col("run_id") == run_id).orderBy("created_at", "id")
+        columns = ("run_id", "term", "engine", "search_mode", "landed_url", "http_status", "blocked", "anchor_count", "created_at")
+        return records(self.spark, self.root, "searches", *columns, where=F.col("run_id") == run_id).orderBy("created_at", "id")
 
     def run_scrapes(self, run_id: str) -> DataFrame:
         return paging.cached_pages(self.spark, self.root, run_id=run_id)
 
     def run_causality(self, run_id: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-        nodes, edges = provenance.causality(self.spark, self.root, most or self.settings.observability.causality_max_urls)
-        return nodes.where(F.col("run_id") == run_id), edges.where(F.col("run_id") == run_id)
+        return provenance.causality(self.spark, self.root, most or self.settings.observability.causality_max_urls, run_id)
 
     def scrape(self, scrape_id: str) -> DataFrame:
         rows = read_table(self.spark, self.root, "scrape_cache").where(F.col("id") == scrape_id)
@@ -60,7 +60,7 @@ class Engine:
 
     def searches_finding(self, url: str) -> DataFrame:
         required(url=url)
-        return runs.searches_finding_url(self.spark, self.root).where(F.col("url") == url).orderBy("rank", "search_id")
+        return runs.searches_finding_url(self.spark, self.root, url).orderBy("rank", "search_id")
 
     def facts(self, q: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
         return paging.facts_page(self.spark, self.root, q, limit, offset)

@@ -27,6 +27,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.log.level", "ERROR")
         .getOrCreate()
     )
