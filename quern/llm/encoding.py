@@ -1,9 +1,11 @@
 """Problem 6: garbled text from a wrong character encoding.
 
-Two passes. The first counts, over all texts, in how many texts each character and each adjacent pair of
-characters occurs. The second scores the pairs of every text by the mutual information of these counts,
-isolates runs of improbable pairs as maximum-scoring segments, and tests inverse mappings in these runs
-only. A mapping is accepted when it yields characters and pairs that the corpus uses.
+Two passes. The first counts in how many texts each character and each adjacent pair of characters occurs;
+texts that look garbled by themselves are not counted, so that garble can't become probable by being
+frequent. The second scores the pairs of every text by the mutual information of these counts, isolates runs
+of improbable pairs as maximum-scoring segments, and tests inverse mappings in these runs and wherever
+characters look like UTF-8 read with a wrong table. A mapping is accepted when it yields characters and
+pairs that the corpus uses, or letters in the script of the word that they stand in.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def _document_frequencies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(key, n) over all rows of ``texts``; the key -SYMBOLS - 1 has the number of texts.
+    """(key, n) over the rows of ``texts`` that don't look garbled; the key -SYMBOLS - 1 has their number.
 
     Each partition gives one row for a key, so what is shuffled is bounded by the alphabet, not by the text.
     """
@@ -77,7 +79,7 @@ def pair_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
-            values = [t for t in batch.column(0).to_pylist() if t]
+            values = [t for t in batch.column(0).to_pylist() if t and not looks_garbled(t)]
             for at in range(0, len(values), 500):
                 keys, n = _document_frequencies(values[at : at + 500])
                 for k, v in zip(keys.tolist(), n.tolist()):
@@ -120,6 +122,120 @@ def _through(text: str, wrong: str, right: str) -> str | None:
         return None
 
 
+#: Restored letters by script, and other characters that texts of any language have.
+_LATIN, _GREEK, _CYRILLIC = "A-Za-zÀ-ÖØ-öø-ſȘ-ț", "Α-Ωα-ω", "А-яЀЁЂ-Џѐё-џҐґ"
+_SCRIPTS = [re.compile(f"[{x}]") for x in (_LATIN, _GREEK, _CYRILLIC)]
+_COMMON_SIGNS = re.compile("[\xa0-¿×÷\u2010-\u2027\u202f-\u203a€№™−\U0001f300-\U0001faff]")
+_CYRILLIC_LETTERS = re.compile("[Ѐ-ӿ]")
+
+
+def _script(char: str) -> int | None:
+    """Script of the first character: 0 Latin, 1 Greek, 2 Cyrillic."""
+    return next((k for k, p in enumerate(_SCRIPTS) if p.match(char)), None)
+
+
+def _sequence_masks() -> tuple[np.ndarray, np.ndarray]:
+    """Bits of a character as the first and as the second of a sequence that restores to one of the above.
+
+    A field of one bit for each table, once for two bytes, once for three (U+2000 to U+223F), once for four.
+    """
+    first, second = np.zeros(0x110000, np.uint64), np.zeros(0x110000, np.uint64)
+    leads = ((*range(0xC2, 0xC6), 0xC8, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2), (0xE2,), (0xF0,))
+    tails = (range(0x80, 0xC0), range(0x80, 0x89), (0x9F,))
+    for k, codec in enumerate(READ_AS):
+        for kind in range(3):
+            bit = np.uint64(1 << (kind * len(READ_AS) + k))
+            for table, numbers in ((first, leads[kind]), (second, tails[kind])):
+                for b in numbers:
+                    table[ord(_CHARS[codec][b])] |= bit
+    return first, second
+
+
+_FIRST, _SECOND = _sequence_masks()
+
+
+def _tables_of(text: str) -> list[str]:
+    """Tables of READ_AS with which a sequence of UTF-8 may have been read somewhere in ``text``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = int(np.bitwise_or.reduce(_FIRST[codes[:-1]] & _SECOND[codes[1:]], initial=np.uint64(0)))
+    return [codec for k, codec in enumerate(READ_AS) if any(found >> (kind * len(READ_AS) + k) & 1 for kind in range(3))]
+
+
+def _decoded(codec: str, part: str) -> str | None:
+    """The part as UTF-8 that was read with ``codec``, up to three times over."""
+    restored = _through(part, codec, "utf-8")
+    for _ in range(2):
+        again = _through(restored, codec, "utf-8") if restored and _SEQUENCES[codec].fullmatch(restored) else None
+        if not again or any(_script(c) is None and not _COMMON_SIGNS.match(c) for c in again) or (codec == "mac_roman" and _script(again) == 2 and len(again) == 1):
+            break  # a dash or an apostrophe before a letter is no sequence
+        restored = again
+    return restored
+
+
+def _fits(restored: str, before: str, after: str) -> bool | None:
+    """Whether restored characters can stand between their neighbours; None if nothing there says so.
+
+    Letters must be of one script, also with letters that stand beside them.
+    """
+    scripts = [_script(c) for c in restored]
+    letters = {x for x in scripts if x is not None}
+    if len(letters) > 1 or any(x is None and not _COMMON_SIGNS.match(c) for x, c in zip(scripts, restored)):
+        return False
+    beside = [c for c, edge in ((before, scripts[0]), (after, scripts[-1])) if edge is not None and c.isalpha()]
+    if any(_script(c) not in letters for c in beside):
+        return False
+    return bool(beside) or len(scripts) > 1 or None
+
+
+def sequences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, restored) of what is UTF-8 read with a wrong table, whatever the corpus holds.
+
+    Two characters that may be real text (a letter alone, a sign in a table where its first byte is a letter or
+    a sign of real text) count only beside others of the same table. Quoted examples are left out.
+    """
+    by_table = []
+    for codec in _tables_of(text):
+        sure, alone = [], []
+        for m in _SEQUENCES[codec].finditer(text):
+            a, b = m.span()
+            restored = None if _quoted(text, a, b) else _decoded(codec, m.group())
+            fit = _fits(restored, text[a - 1 : a], text[b : b + 1]) if restored else False
+            if fit is None:  # a letter or a sign alone
+                sign = _COMMON_SIGNS.match(restored) and _CHARS[codec][0xC2] == "Â"
+                certain = b - a > 2 or sign or (text[a] in "ÃĂ√" and text[a] == _CHARS[codec][0xC3] and text[b - 1] not in CLOSING)
+            else:
+                certain = codec not in CYRILLIC or len(restored or "") > 1 or b - a > 2 or _script(restored or " ") == 0
+            if fit is not False:
+                (sure if certain else alone).append((a, b, restored))
+        if alone and not sure and codec in CYRILLIC and 0 < len(_CYRILLIC_LETTERS.findall(text)) == sum(len(_CYRILLIC_LETTERS.findall(text, a, b)) for a, b, _ in alone):
+            sure, alone = alone, []  # no other Cyrillic letter in the text
+        if sure:
+            by_table.append((sum(b - a for a, b, _ in sure), sure, alone))
+    by_table.sort(key=lambda x: -x[0])
+    return _without_overlap([hit for k, (_, sure, alone) in enumerate(by_table) for hit in (sure + alone if k == 0 else sure)])
+
+
+def _without_overlap(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Longer hits before shorter ones, then as given, each only where none before it lies; sorted by place."""
+    if len(hits) < 2:
+        return hits
+    taken, out = bytearray(max(b for _, b, _ in hits)), []
+    for a, b, restored in sorted(hits, key=lambda x: x[0] - x[1]):
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            out.append((a, b, restored))
+    return sorted(out)
+
+
+#: Words that a mix-up of single-byte tables gives: rows of marked Latin letters or signs, Cyrillic capitals in the middle of words.
+_ODD_WORDS = re.compile(r"[À-ÖØ-öø-ſ]{4}|(?=[¿-ſƒ‚„‰‡†◊€⁄≈∆ﬁﬂ˘˙˚˛ˇ¬√«»“”‘’÷…–—]{6})[^À-ÿ]*[À-ÿ]+[^À-ÿ]{0,3}[À-ÿ]+|[░-▟╔-╬]{2}|[а-яё][А-ЯЁ]{2}|[ЃѓЂђЉЊЌЋЏљњќћџЈҐґЎў¤¦§¬][а-я]")
+
+
+def looks_garbled(text: str) -> bool:
+    """Whether a text should not be counted in the corpus that others are judged by."""
+    return not text.isascii() and (bool(_ODD_WORDS.search(text)) or bool(sequences(text)))
+
+
 @dataclass
 class PairModel:
     """Mutual information of adjacent symbols, from document frequencies; sent to the workers in sparse form."""
@@ -223,10 +339,7 @@ def _utf8_again(model: PairModel, run: str) -> list[tuple[int, int, str]]:
     for codec in READ_AS:
         hits, alone, gained = [], [], 0.0
         for m in _SEQUENCES[codec].finditer(run):
-            restored = _through(m.group(), codec, "utf-8")
-            for _ in range(2):  # encoded twice or three times
-                if restored and (again := _SEQUENCES[codec].fullmatch(restored)):
-                    restored = _through(again.group(), codec, "utf-8") or restored
+            restored = _decoded(codec, m.group())
             if restored is None or not model.common(restored):
                 continue
             # a lone Cyrillic letter may be two characters of real Russian text, unless longer parts stand beside it
@@ -312,6 +425,7 @@ def repair(model: PairModel, text: str | None) -> tuple[bool, str | None, int]:
             if not _quoted(text, start + a, start + b):
                 changes.append((start + a, start + b, restored))
                 last = start + b
+    changes = _without_overlap(changes + [hit for hit in sequences(text) if model.common(hit[2])])
     if _CONTROLS.search(text):
         more, lost_too = _controls(model, text, changes)
         changes, lost = sorted(changes + more), lost + lost_too

@@ -137,6 +137,25 @@ def test_left_over_controls(pairs):
     assert encoding.repair(pairs, "odd \x81 mark") == (True, "odd \x81 mark", 1)
 
 
+@pytest.mark.parametrize("wrong", ["cp1252", "cp1251", "mac_roman"])
+def test_garble_of_many_texts_does_not_become_probable(spark, wrong):
+    rng = random.Random(5)
+    right = [" ".join(rng.sample(FACTS, k=3)) for _ in range(300)]
+    garbled = ["".join(encoding._CHARS[wrong][b] for b in t.encode()) for t in right[:120]]
+    rows = [(t,) for t in garbled + right[120:]]
+    model = encoding.PairModel.of([(r.key, r.n) for r in encoding.pair_frequencies(spark.createDataFrame(rows, "text string")).collect()])
+    assert model.texts == 180
+    for t, g in zip(right[:120], garbled):
+        assert encoding.repair(model, g) == (g != t, t, 0)
+    assert not any(encoding.repair(model, t)[0] for t in right[120:])
+
+
+def test_sequences_need_no_corpus():
+    assert encoding.sequences("cafÃ© â€“ 5Â°") == [(3, 5, "é"), (6, 9, "–"), (11, 13, "°")]
+    for text in [*FACTS, "Рёбра и ребёнок, Её всё", "mot —à la fin, l’été", "„Ä“ und „Ö”", "«Группа В» и другие", "В\xa0Москве", "──┐ │", "“Ã©” is garbled"]:
+        assert encoding.sequences(text) == [] and not (text in FACTS and encoding.looks_garbled(text))
+
+
 def test_clean_and_quoted_texts_stay(pairs):
     for text in [*FACTS, None, "", "ascii only", "The sequence “Ã©” appears when bytes are misread.", "Where the mark “�” stands"]:
         assert encoding.repair(pairs, text) == (False, text, 0)
