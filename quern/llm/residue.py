@@ -97,16 +97,27 @@ VOCABULARY = frozenset(t for e in EXEMPLARS for t in tokens(e)) | {_MARK}
 def document_frequencies(texts: DataFrame, column: str) -> DataFrame:
     """(token, n): in how many texts each token of the exemplars occurs; '' has the number of texts.
 
-    Every partition sends at most one row for each token of the exemplars.
+    Windows that are residue when all tokens weigh the same are left out, so that residue doesn't lose weight
+    by being frequent; texts of such windows alone are not counted. Every partition sends at most one row for each token of the exemplars.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
+        even = ResidueIndex.of({})
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = VOCABULARY.intersection(words_of(prepared(text)))
+                found: set[str] = set()
+                residue = other = False
+                for window in windows(prepared(text)):
+                    words = words_of(window)
+                    inside = VOCABULARY.intersection(words)
+                    if inside and even.words_are_residue(words):
+                        residue = True
+                    else:
+                        found |= inside
+                        other = other or bool(words)
                 n.update(found)
-                n[""] += 1
+                n[""] += other or not residue
         yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
 
     return texts.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))

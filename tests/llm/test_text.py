@@ -209,6 +209,15 @@ def test_titles(index):
     assert not any(index.title_is_residue(t) for t in ("How Edda fixed the gate", "Notes on the page of errors", None, "", "The forbidden bridge of Orrin | Millpost"))
 
 
+def test_frequent_residue_keeps_its_weight(spark):
+    wall = [f"Just a moment\nChecking your browser before accessing {site}\nThis takes up to {n} seconds" for n, site in enumerate(["CINDERMONITOR", "Millpost", "Rowandesk", "Plumsource"] * 25, 400)]
+    rows = [(t,) for t in wall + [f"{ARTICLE} {i}" for i in range(200)]]
+    judge = residue.fit(spark.createDataFrame(rows, "text_content string"))
+    assert judge.weight["checking"] == judge.greatest and judge.weight["the"] < 1
+    assert all(judge.text_is_residue(t) and judge.coverage(t) == 1 for t in wall) and not any(judge.text_is_residue(t) for (t,) in rows[100:])
+    assert judge.title_is_residue("Just a moment")
+
+
 # ---- 8
 
 
