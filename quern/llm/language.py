@@ -27,7 +27,8 @@ BACKOFF_WEIGHT = 0.35
 CONTEXT_WEIGHT = 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"[^\W_]+")
-_INVISIBLE = re.compile("[\x00-\x08\x0b-\x1f\u200b-\u200f]")
+#: Characters without a look or a width, which may stand inside a word; not those that end lines or part words.
+_INVISIBLE = re.compile("[\x00-\x08\x0e-\x1b\x7f\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]")
 #: Letters that the languages are written with: Latin and Cyrillic.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏЀ-ӿ]+")
 
@@ -116,7 +117,7 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     language that the first model gives them. Without any usable label the model knows nothing.
     """
     ids = sample_rows(df, id_column, label_column, rows_per_label)
-    sample = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
+    sample = df.select(F.col(id_column).alias("id"), F.regexp_replace(text_column, _INVISIBLE.pattern, "").alias("text")).where("text is not null").join(F.broadcast(ids), "id")
     lines = sample.select("label", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
 
     def count(labelled: DataFrame) -> list[tuple[str, str, int]]:
@@ -142,10 +143,11 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 def countable(line: str, least_words: int = 4) -> bool:
     """Whether a line has enough words of letters alone, in a script of the languages, and is no code, address, number or row of symbols.
 
-    A word is a run of letters and digits. Most of the line must be in such words.
+    A word is a run of letters and digits. Most of the line must be in such words. Invisible characters don't count.
     """
+    line = _INVISIBLE.sub("", line)
     words = [w for w in _RUNS.findall(line) if _WORD.fullmatch(w)]
-    return len(words) >= least_words and sum(map(len, words)) >= 0.6 * len("".join(line.split())) and not _INVISIBLE.search(line)
+    return len(words) >= least_words and sum(map(len, words)) >= 0.6 * len("".join(line.split()))
 
 
 def judge_document(model: LanguageModel, text: str | None, least_words: int = 4) -> tuple[str | None, float, list[tuple[int, str, float]]]:
@@ -153,7 +155,7 @@ def judge_document(model: LanguageModel, text: str | None, least_words: int = 4)
     if not text:
         return None, 0.0, []
     judged, total = [], np.zeros(len(LANGUAGES))
-    for number, line in enumerate(text.split("\n")):
+    for number, line in enumerate(_INVISIBLE.sub("", text).split("\n")):
         words = _LETTERS.findall(line.lower())
         if not words:
             continue

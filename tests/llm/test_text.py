@@ -271,6 +271,14 @@ def test_segments(model):
     assert language.judge_document(model, None) == language.judge_document(model, "") == language.judge_document(model, "123 --") == (None, 0.0, [])
 
 
+def test_line_ends_and_invisible_characters_drop_no_line(model):
+    lines = [FACTS[0], FACTS[7], FACTS[1]]
+    want = [(0, "en"), (1, "ru"), (2, "de")]
+    for text in ("\r\n".join(lines) + "\r\n", "\n".join(f"\u200e{x}\u200b" for x in lines), "\n".join(x.replace("e", "e\u200b").replace("о", "о\xad") for x in lines), "\n".join(x.replace(" ", "\x0b", 1) for x in lines)):
+        assert [(n, x) for n, x, _ in language.judge_document(model, text)[2]] == want
+    assert not language.countable("\u200b| — \u200b| → one two")
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("en", "EN_xx", "de-DE", None, "", " ", "und", "N/A", "n/a")], "l string")
     assert [r.v for r in df.select(language.label_language(df.l).alias("v")).collect()] == ["en", "en", "de", None, None, None, None, None, None]
