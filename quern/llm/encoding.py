@@ -123,7 +123,7 @@ def _through(text: str, wrong: str, right: str) -> str | None:
 
 
 #: Restored letters by script, and other characters that texts of any language have.
-_LATIN, _GREEK, _CYRILLIC = "A-Za-zÀ-ÖØ-öø-ſȘ-ț", "Α-Ωα-ω", "А-яЀЁЂ-Џѐё-џҐґ"
+_LATIN, _GREEK, _CYRILLIC = "A-Za-zÀ-ÖØ-öø-ſȘ-ț", "Ά-ώ", "А-яЀЁЂ-Џѐё-џҐґ"
 _SCRIPTS = [re.compile(f"[{x}]") for x in (_LATIN, _GREEK, _CYRILLIC)]
 _COMMON_SIGNS = re.compile("[\xa0-¿×÷\u2010-\u2027\u202f-\u203a€№™−\U0001f300-\U0001faff]")
 _CYRILLIC_LETTERS = re.compile("[Ѐ-ӿ]")
@@ -425,7 +425,7 @@ def repair(model: PairModel, text: str | None) -> tuple[bool, str | None, int]:
             if not _quoted(text, start + a, start + b):
                 changes.append((start + a, start + b, restored))
                 last = start + b
-    changes = _without_overlap(changes + [hit for hit in sequences(text) if model.common(hit[2])])
+    changes = _without_overlap(changes + sequences(text))
     if _CONTROLS.search(text):
         more, lost_too = _controls(model, text, changes)
         changes, lost = sorted(changes + more), lost + lost_too

@@ -156,6 +156,12 @@ def test_sequences_need_no_corpus():
         assert encoding.sequences(text) == [] and not (text in FACTS and encoding.looks_garbled(text))
 
 
+@pytest.mark.parametrize("text", ["El último tren", "Фото и хлеб, Эхо, Ёлка", "UN EQUIPO PEQUEÑO", "l’œuvre où Île naît", "Ουρανός"])
+@pytest.mark.parametrize("wrong", ["cp1252", "cp1251", "mac_roman"])
+def test_letters_that_the_corpus_lacks_are_restored(pairs, text, wrong):
+    assert encoding.repair(pairs, "".join(encoding._CHARS[wrong][b] for b in text.encode())) == (True, text, 0)
+
+
 def test_clean_and_quoted_texts_stay(pairs):
     for text in [*FACTS, None, "", "ascii only", "The sequence “Ã©” appears when bytes are misread.", "Where the mark “�” stands"]:
         assert encoding.repair(pairs, text) == (False, text, 0)
