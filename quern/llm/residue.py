@@ -52,10 +52,10 @@ EXEMPLARS = (
 
 #: Fixed value: ways to write a field that a template engine should have filled.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|\{%[^%\n]{0,60}%\}|<%=?[^%\n]{0,60}%>|\[\[[\w .]{1,60}\]\]|@@[\w.]{1,60}@@|__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|\[[A-Z][A-Z_]{2,60}\]|\[insert [\w ]{1,60}\]|\b[A-Z]+_PLACEHOLDER\w*|\{[a-z][\w.]{1,40}\}",
+    r"\{\{(?:[^{}\n]|\{[^{}\n]*\}|\}(?!\}))*\}\}|\$\{[^{}\n]+\}|\{%(?:[^%{\n]|%(?!\})|\{(?!%))*%\}|<%=?(?:[^%<\n]|%(?!>)|<(?!%))*%>|\[\[[\w .]+\]\]|@@[\w.]+@@|__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|\[[A-Z][A-Z_]{2,}\]|\[insert [\w ]+\]|\b[A-Z]+_PLACEHOLDER\w*|\{[a-z][\w.]+\}",
     re.IGNORECASE,
 )
-_SHOUTED = re.compile(r"__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|\[[A-Z][A-Z_]{2,60}\]|\b[A-Z]+_PLACEHOLDER\w*|\{\{|\$\{|\{%|<%|\[\[|@@|\[[Ii]nsert |\{[a-z][\w.]{1,40}\}")
+_SHOUTED = re.compile(r"__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|\[[A-Z][A-Z_]{2,}\]|\b[A-Z]+_PLACEHOLDER\w*|\{\{|\$\{|\{%|<%|\[\[|@@|\[[Ii]nsert |\{[a-z][\w.]+\}")
 _MARK = "\x01"
 _TOKEN = re.compile(r"\x01|[^\W_]+")
 _DIGIT = re.compile(r"\d")
@@ -195,8 +195,8 @@ class ResidueIndex:
         """As for a text of one window, after the name of the site is taken off."""
         if not title or not title.strip():
             return False
-        head = _SUFFIX.sub("", title) or title
-        words = tokens(head)
+        whole = prepared(title)
+        words = words_of(_SUFFIX.sub("", whole) or whole)
         if not words:
             return False
         return words.count(_MARK) * 3 >= len(words) or self.containment(words, 0.75) >= 0.75

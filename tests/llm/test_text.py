@@ -224,6 +224,15 @@ def test_frequent_residue_keeps_its_weight(spark):
     assert judge.title_is_residue("Just a moment")
 
 
+def test_placeholders_of_any_length(index):
+    long = "{{ page.title | default: site.title | escape | truncatewords: 12 | replace: 'a', {'b': 1} | append: site.name_of_owner }}"
+    loop = "{% if page.author and page.author.name and page.author.visible and site.settings.show_authors %100 == 0 %}"
+    other = "<%= render partial: 'shared/header', locals: { title: title, subtitle: subtitle, owner: owner } %> ${" + "order.customer." * 6 + "name}"
+    assert all(residue.tokens(t) == ["\x01"] * n for t, n in ((long, 1), (loop, 1), (other, 2)))
+    assert index.title_is_residue(long) and index.text_is_residue(f"{long}\n{loop}\n{other}")
+    assert residue.tokens("{{ one\ntwo }}") == ["one", "two"]
+
+
 # ---- 8
 
 
