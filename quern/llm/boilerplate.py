@@ -1,48 +1,53 @@
 """Problem 1: the main body of web pages, from flat text blocks.
 
-A page is a sequence of text blocks. Each block is described by its own and its neighbours' word count and
-link density, the element it stood in and what its words are for; a decision tree trained on a small
-labelled table tells main body from the rest.
+A page is a sequence of flat text blocks. Each block is described by its number of words and link density,
+those of the two blocks on either side, and the kind of element that it stood in; a decision tree trained on
+the small labelled table of ``labelled.py`` tells main body from the rest. Nothing is known of the wording.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import residue
-from quern.llm.cues import plain, purpose, separators
 from quern.llm.labelled import PAGES
 from quern.runtime import newest
 
-#: Elements that end a text block, those that hold running content, and those without text.
-BLOCK_ELEMENTS = frozenset("address article aside blockquote body br button caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTENT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre dd dt figcaption caption".split())
+if TYPE_CHECKING:
+    from quern.llm.residue import ResidueIndex
+
+#: Elements that end a text block, and those without text. Cells of a row are one block.
+BLOCK_ELEMENTS = frozenset("address article aside blockquote body br button caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 SILENT_ELEMENTS = frozenset("script style noscript template head title iframe svg".split())
-FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "content_element", "purpose", "separators", "sentence_end", "after_teaser", "titles_only")
+#: Kinds of elements, from plain containers to those that hold little else than content.
+KINDS = {"li": 1.0, "dd": 1.0, "td": 2.0, "th": 2.0, "p": 3.0, "blockquote": 4.0, "pre": 4.0, "dt": 4.0, "figcaption": 4.0, "caption": 4.0, "h1": 5.0, "h2": 5.0, "h3": 5.0, "h4": 5.0, "h5": 5.0, "h6": 5.0}
+_LETTERS = {"d": 0.0, "m": 0.0, "l": 1.0, "t": 2.0, "p": 3.0, "q": 4.0, "h": 5.0}
+#: Neighbours on either side, and the features of a block; bare text has no element.
+REACH = 2
+FEATURES = ("words_2_before", "words_before", "words", "words_after", "words_2_after", "links_2_before", "links_before", "links", "links_after", "links_2_after", "element")
 _HTML = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|([^<]+)|<", re.DOTALL)
 _WORDS = re.compile(r"\w+")
-_END = re.compile(r"[.!?…:;]['\"”»’)]*$|[.!?…] ?\([^)]*\)$")
-_ROW = re.compile(r"^\S+ [\d.,]+ \S+$")
-UNKNOWN = -1.0
-#: Features of a block whose HTML is known; a block without HTML is judged by all of them.
-STRUCTURAL = 7
+_MARKS = re.compile(r"(?<=\s)[|·›»](?=\s)")
+_SENTENCE_END = re.compile(r"[.!?…:;]['\"”»’)]*$|[.!?…] ?\([^)]*\)$")
 
 
 @dataclass
 class Block:
-    """One text block: its text, the share of it inside links and whether its element holds content (-1: unknown)."""
+    """One text block: its text, number of words, the share of it inside links and the kind of its element."""
 
     text: str
-    links: float = UNKNOWN
-    element: float = UNKNOWN
+    words: int
+    links: float = 0.0
+    element: float = 0.0
 
 
 def html_blocks(source: str) -> list[Block]:
@@ -57,7 +62,7 @@ def html_blocks(source: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, linked / total if total else 0.0, float(element in CONTENT_ELEMENTS)))
+                blocks.append(Block(text, len(_WORDS.findall(text)), linked / total if total else 0.0, KINDS.get(element, 0.0)))
             parts.clear()
         linked = total = 0
 
@@ -79,6 +84,9 @@ def html_blocks(source: str) -> list[Block]:
             silent = "" if m.group(1) else name
         elif name == "a":
             inside = max(0, inside + (-1 if m.group(1) else 1))
+        elif name == "td" or name == "th":
+            parts.append(" ")
+            element = element if m.group(1) else name
         elif name in BLOCK_ELEMENTS:
             flush()
             element = "" if m.group(1) else name
@@ -86,68 +94,51 @@ def html_blocks(source: str) -> list[Block]:
     return blocks
 
 
-def describe_lines(text: str, *sources: str | None) -> tuple[list[int], list[Block]]:
-    """Numbers of the lines with text, and their blocks, with what the HTML sources know of them.
+def link_likeness(line: str) -> float:
+    """Stand-in for the link density of a line whose HTML is unknown: 1 for labels between marks, 0 for sentences, else 0.5."""
+    return 1.0 if _MARKS.search(line) else 0.0 if _SENTENCE_END.search(line) else 0.5
 
-    A source is only parsed while lines are still unknown to the sources before it.
-    """
-    keys = [(i, key, line) for i, line in enumerate(text.split("\n")) if (key := " ".join(line.split()))]
-    known: dict[str, Block] = {}
-    for source in sources:
-        if source and any(key not in known for _, key, _ in keys):
-            for b in html_blocks(source):
-                seen = known.setdefault(b.text, b)
-                if b.element > seen.element:  # a text that occurs twice counts as content once it is content
-                    known[b.text] = b
-    found = [(known.get(key), line) for _, key, line in keys]
-    return [i for i, _, _ in keys], [Block(line, b.links, b.element) if b else Block(line) for b, line in found]
 
+def line_blocks(text: str) -> tuple[list[int], list[Block]]:
+    """Numbers and blocks of the lines with text."""
+    numbers, blocks = [], []
+    for i, line in enumerate(text.split("\n")):
+        if key := " ".join(line.split()):
+            numbers.append(i)
+            blocks.append(Block(key, len(_WORDS.findall(key)), link_likeness(key)))
+    return numbers, blocks
 
-def features(numbers: list[int], blocks: list[Block]) -> np.ndarray:
-    """One row of FEATURES for each block; those of the words are only worked out where a block has no HTML."""
-    n = len(blocks)
-    if not n:
-        return np.zeros((0, len(FEATURES)))
-    lines = [plain(b.text) for b in blocks]
-    words = np.array([len(_WORDS.findall(x)) if len(x) < 400 else 80 for x in lines], float)
-    links = np.array([b.links for b in blocks])
-    elements = np.array([b.element for b in blocks])
-    kinds, separate, ends, after, titles = np.zeros((5, n))
-    if (elements == UNKNOWN).any():
-        purposes = [purpose(x) for x in lines]
-        kinds = np.array([float(bool(p)) for p in purposes])
-        separate = np.array([separators(x) for x in lines], float)
-        ends = np.array([bool(_END.search(x)) for x in lines], float)
-        after = _after_teaser(numbers, purposes, ends, words)
-        titles = _titles_only(numbers, lines, ends, words)
-    pad = lambda x: np.concatenate([[0.0], x, [0.0]])
-    w, k = pad(words), pad(links)
-    return np.column_stack([w[:-2], words, w[2:], k[:-2], links, k[2:], elements, kinds, separate, ends, after, titles])
-
-
-def _after_teaser(numbers: list[int], purposes: list[str], ends: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """For the short lines that follow the head of a teaser: how many lines ago it was."""
-    out, since = np.zeros(len(numbers)), 0
-    for i, kind in enumerate(purposes):
-        gap = i > 0 and numbers[i] - numbers[i - 1] > 1
-        if kind == "teaser":
-            since = 1
-        elif since and (ends[i] or words[i] > 16 or kind or (gap and since > 1)):
-            since = 0
-        elif since:
-            out[i] = since
-            since += 1
+
+def aligned(lines: list[Block], blocks: list[Block]) -> list[int]:
+    """For each line the place of the block with its text, in the order of both; -1 where there is none.
+
+    Of several blocks with one text a line takes the first one after that of the line before.
+    """
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, b in enumerate(blocks):
+        places[b.text].append(i)
+    out, at = [], 0
+    for line in lines:
+        found = places.get(line.text)
+        if found is None:
+            out.append(-1)
+            continue
+        place = next((i for i in found if i >= at), found[-1])
+        out.append(place)
+        at = max(at, place + 1)
     return out
 
 
-def _titles_only(numbers: list[int], lines: list[str], ends: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Size of a group of adjacent lines none of which is a sentence or a row of a table; 0 for all other lines."""
-    n, out, first = len(numbers), np.zeros(len(numbers)), 0
-    for i in range(1, n + 1):
-        if i == n or numbers[i] - numbers[i - 1] > 1:
-            if i - first > 1 and not any(ends[j] or words[j] > 14 or _ROW.search(lines[j]) for j in range(first, i)):
-                out[first:i] = i - first
-            first = i
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row of FEATURES for each block; beyond the ends of a page lie blocks without words."""
+    n = len(blocks)
+    out = np.zeros((n, len(FEATURES)))
+    if n:
+        words = np.pad(np.array([b.words for b in blocks], float), REACH)
+        links = np.pad(np.array([b.links for b in blocks], float), REACH)
+        for i in range(2 * REACH + 1):
+            out[:, i], out[:, 2 * REACH + 1 + i] = words[i : i + n], links[i : i + n]
+        out[:, -1] = [b.element for b in blocks]
     return out
 
 
@@ -186,8 +177,15 @@ class DecisionTree:
             self.right[me] = self._node(x[~below], y[~below], depth - 1, least)
         return me
 
+    def rules(self, names: tuple[str, ...] = FEATURES, node: int = 0, indent: str = "") -> str:
+        """The tree as text."""
+        if self.feature[node] < 0:
+            return f"{indent}main {self.share[node]:.2f}\n"
+        test = f"{indent}{names[self.feature[node]]} <= {self.threshold[node]:g}"
+        return f"{test}\n{self.rules(names, self.left[node], indent + '  ')}{indent}else\n{self.rules(names, self.right[node], indent + '  ')}"
+
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 3) -> DecisionTree:
+    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 6) -> DecisionTree:
         tree = cls()
         tree._node(x, y.astype(float), depth, least)
         return tree
@@ -206,49 +204,60 @@ class DecisionTree:
         return np.array(self.share)[at]
 
 
-def labelled_table(known: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the labelled pages, with what the HTML tells or without it."""
+_ITEM = re.compile(r"([+-])([a-z])(\d+)(?::(\d+))?(?:\*(\d+))?$")
+
+
+def labelled_table(known: bool, pages: Iterable[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages, with what the HTML tells or as bare text."""
     xs, ys = [], []
-    for page in PAGES:
-        rows = [r for r in page.strip("\n").split("\n")]
-        numbers, blocks, labels = [], [], []
-        for i, row in enumerate(rows):
-            if row.strip():
-                label, element, text = row[0], row[1], row[3:]
-                numbers.append(i)
-                blocks.append(Block(text, float(element == "a"), float(element != "d")))
-                labels.append(label == "+")
-        xs.append(features(numbers, blocks if known else [Block(b.text) for b in blocks]))
+    for page in pages or PAGES.strip().split("\n"):
+        blocks, labels = [], []
+        for item in page.split():
+            label, kind, words, links, times = _ITEM.match(item).groups()
+            density = int(links or 0) / 100 if known else 1.0 if kind == "m" else 0.5 if kind in "ht" or int(words) < 9 else 0.0
+            blocks += [Block("", int(words), density, _LETTERS[kind])] * int(times or 1)
+            labels += [label == "+"] * int(times or 1)
+        xs.append(features(blocks))
         ys.append(np.array(labels))
-    return np.concatenate(xs), np.concatenate(ys)
+    x = np.concatenate(xs)
+    return (x if known else x[:, :-1]), np.concatenate(ys)
 
 
 @dataclass
 class BodyModel:
-    """The tree for blocks whose HTML is known, by structure alone, and the one for bare text."""
+    """The tree for blocks whose HTML is known and the one for bare text."""
 
     structural: DecisionTree
     textual: DecisionTree
 
-    def is_main(self, x: np.ndarray) -> np.ndarray:
-        known = x[:, 6] != UNKNOWN
-        return np.where(known, self.structural.predict(x[:, :STRUCTURAL]), self.textual.predict(x)) >= 0.5
-
 
 def train() -> BodyModel:
     """The trees of the labelled pages; it takes some milliseconds on the driver."""
-    (x, y), (bare, labels) = labelled_table(True), labelled_table(False)
-    return BodyModel(DecisionTree.fit(x[:, :STRUCTURAL], y), DecisionTree.fit(bare, labels))
+    return BodyModel(DecisionTree.fit(*labelled_table(True)), DecisionTree.fit(*labelled_table(False)))
 
 
 def other_lines(model: BodyModel, text: str | None, *sources: str | None) -> list[int]:
-    """Numbers of the non-empty lines of ``text`` that are not main body."""
+    """Numbers of the non-empty lines of ``text`` that are not main body.
+
+    A line is judged as the block of the HTML that it comes from; a source is only parsed while lines are
+    still unknown to those before it. Lines that no source holds are judged as bare text.
+    """
     if not text:
         return []
-    numbers, blocks = describe_lines(text, *sources)
-    if not blocks:
+    numbers, lines = line_blocks(text)
+    if not lines:
         return []
-    return [i for i, main in zip(numbers, model.is_main(features(numbers, blocks))) if not main]
+    main = np.full(len(lines), -1)
+    for source in sources:
+        if source and (main < 0).any():
+            blocks = html_blocks(source)
+            place = np.array(aligned(lines, blocks))
+            new = (main < 0) & (place >= 0)
+            if new.any():
+                main[new] = (model.structural.predict(features(blocks)) >= 0.5)[place[new]]
+    if (bare := main < 0).any():
+        main[bare] = (model.textual.predict(features(lines)[:, :-1]) >= 0.5)[bare]
+    return [i for i, m in zip(numbers, main.tolist()) if not m]
 
 
 def main_text(text: str, others: list[int]) -> str:
@@ -258,11 +267,11 @@ def main_text(text: str, others: list[int]) -> str:
     return re.sub(r"\n{3,}", "\n\n", kept).strip("\n")
 
 
-def extract(df: DataFrame, index: residue.ResidueIndex, trees: BodyModel | None = None, id_column: str = "id", order_column: str = "updated_at", with_text: bool = False) -> DataFrame:
+def extract(df: DataFrame, index: ResidueIndex, trees: BodyModel | None = None, id_column: str = "id", order_column: str = "updated_at", with_text: bool = False) -> DataFrame:
     """(id, other_lines[, main]) of every page with text, in the newest row of each record.
 
     ``df`` has raw_html, clean_html and text_content. Pages without text, and those whose text is residue by
-    ``index``, give no row. Where both HTML columns are null the lines are judged by their words alone.
+    ``index``, give no row. Where both HTML columns are null the lines are judged by their numbers of words alone.
     Null ids form one record; other columns are not read.
     """
     context = df.sparkSession.sparkContext
@@ -273,7 +282,7 @@ def extract(df: DataFrame, index: residue.ResidueIndex, trees: BodyModel | None
         for batch in batches:
             rows, bodies = [], []
             for raw, clean, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                found = None if not text or known.text_is_residue(text) else other_lines(judge, text, clean, raw)
+                found = None if not text or known.text_is_residue(text) else other_lines(judge, text, raw, clean)
                 rows.append(found)
                 bodies.append(main_text(text, found) if with_text and found is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(bodies, pa.string())], names=["id", "order", "other_lines", "main"])

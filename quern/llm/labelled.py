@@ -1,208 +1,98 @@
-"""The small labelled table of problem 1: pages as flat text blocks.
-
-Each row is a label (+ main body, - anything else), the element (p: content, a: link, d: other container)
-and the text. Empty rows are empty lines.
+"""The small labelled table of problem 1: pages as sequences of flat text blocks, written for this project.
+
+One line is one page, one item one block: its label (+ main body, - anything else), its element (h heading,
+q quotation, code or caption, p paragraph, t row of a table, l list item, d any other container, m a
+container whose parts stand between marks like | or ›), its number of words and, where some of them are
+links, the share of linked text in percent; ``*n`` repeats a block. The pages follow common layouts: articles
+in semantic markup, articles in plain containers, notices in paragraphs and lists, reference pages full of
+links, shops, forums, pages that are nothing but menus.
 """
 
 from __future__ import annotations
 
-PAGES = (
-    """
--a Home | News | Guides | Contact
--d We use cookies to measure traffic. By continuing you agree.
--d Home › Guides › A walk along the northern dyke
-+p A walk along the northern dyke
--d By Ada Winther
--d Last updated 2021-03-02 · 14 comments
-+p The path begins at the old pumping station, where two engines from 1911 are still kept in order by volunteers.
-+p The pumps
-+p Three of the pumps can be seen on open days, and a fourth one is being repaired in the yard behind the hall.
--a Read next
--a Notes on the tide mill
--a How the lock was moved
--a 12 boats in Harlund
-+p Visitors should bring good shoes, because the upper part of the dyke is often wet until noon.
--d Filed under: Harlund, dykes, walks
--d Copyright Coastpaper 2021. All rights reserved.
-""",
-    """
--a Startseite
--a Termine
--a Suche
--a Kontakt
-
--d Diese Seite speichert kleine Dateien auf Ihrem Gerät. Alle annehmen oder Einstellungen öffnen.
-
-+p Die Mühle am Oberlauf
-
--d Jana Horst, Redaktion Talbote
-
-+p Seit dem Frühjahr wird in der Mühle wieder gemahlen, und die Nachbarn bringen ihr Korn selbst vorbei.
-
-+p Das neue Rad
-
-+p Lager 14 Eiche
-+p Welle 230 Stahl
-+p Rad 9 Lärche
-
-+p Ein Rad aus Lärchenholz ersetzt das alte, das nach dem Hochwasser gebrochen war (14 Balken, Oberau).
-
--a Mehr zum Thema
--a Das Wehr aus Unterau
--a Der Speicher aus Neudorf
-
--d Talbote – ein Angebot des Vereins Talbote. Nachdruck nur mit Erlaubnis.
--a Startseite · Themen · Presse · Kontakt
-""",
-    """
--a Accueil Boutique Agenda Recherche
-
--d Par Lucie Maret
-
-+p Le bac de Saint-Aubin
-
-+p Le passeur raconte que la corde a été changée deux fois cette année, malgré le prix du chanvre.
-
-+p La corde du bac
-+p Le passeur et son fils tirent le bac à la main.
-+p Une traversée dure quatre minutes par temps calme.
-
--d Abonnez-vous à la lettre de Rivage
-
-+p En hiver, le bac reste à quai et les enfants font le tour par le pont.
-
--a Partager cette page
--d Mots-clés: Aubin, bacs, rivière
--d Contenus de Rivage fournis sans garantie. Tous droits réservés.
-""",
-    """
--a Inicio | Noticias | Tienda | Ayuda
--a También te puede interesar
--a El faro de Molinos
--a La escuela de Ribera
-+p El taller de los remos
--d 3.4.2020 · 6 min de lectura
-+p En el taller se hacen remos de fresno, y cada aprendiz firma el primero que vende.
-+p «El fresno no perdona», dice la maestra, que lleva treinta años en el oficio.
-+p GET /remos/fresno?page=2 41 ms
-+p Cada remo pesa dos kilos y medio, y los más largos miden cuatro metros.
--a Compartir | Imprimir | Enviar
--d Etiquetas: remos, fresno
--d © 2020 Riberadiario. Prohibida la reproducción sin permiso.
-""",
-    """
--a Главная | Новости | Архив | Поиск
-
--d Мы используем файлы cookie, чтобы улучшить ваш визит. Принять всё или открыть настройки.
-
-+p Старая пристань у моста
-
--d Автор: Лида Норина
-
-+p Смотритель рассказывает, что пристань чинили всю осень, а доски привезли с дальнего склада.
-
-+p Доски для пристани
-
-+p Работы закончили до первого снега, и лодки снова стоят у берега (40 досок, Верхний).
-
--a Ещё статьи
--a Лодочник из Нижнего
--a Мост через протоку
-
--a Поделиться | Печать | Отправить
--d Метки: Верхний, пристань
--d Материалы Речника публикуются без гарантии. Все права защищены.
-""",
-    """
--d Your privacy matters to Hillpost: we keep cookies to remember your settings. Read more in our privacy policy.
--a Archive
--a Gallery
--a Log in
-+p How the bell was cast
--d Mark Olsen | Hillpost desk
-+p Some 300 visitors came to see the bell cast in the yard of the old foundry, and most of them stayed until dark.
-+p “We had one attempt,” said the founder, “and the mould held.”
-+p Clay from the lower pit
-+p Notes on the second mould
-+p The metal was poured at four in the afternoon.
-+p The bell now hangs in the tower of the school and is rung on market days.
--d Join 4000 readers: subscribe for free
--a You may also like
--a The early organ of Brenn
--a How Tamsel lost the clock
--a Notes on the rope walk
--d Content on Hillpost is provided as is. Imprint and terms of use apply.
--a Subscribe · Contact · About us · Search
-""",
-    """
-+p A short note on slates
-
-+p Slates from the upper quarry split evenly; those from the lower one do not.
-
--d Share this page with a friend
-
-+p Size 12 grey
-+p Size 18 blue
-
-+p The roof of the hall was laid with both, and the difference shows after rain.
-
--d Get one quiet e-mail a week from Slatehouse
--d Slatehouse, a project of the Slatehouse trust. Figures are given without guarantee.
-""",
-    """
--a Suche | Anmelden | Archiv | Hilfe
--d Startseite › Archiv › Der Fährmann aus Lohe
-+p Der Fährmann aus Lohe
--d 5.6.2022 · 8 Min. Lesezeit
-+p Der Fährmann hat geprüft, ob die Kette noch hält; das Rathaus wusste nicht, dass sie schon getauscht war.
-+p Die Kette der Fähre
-+p Der Anleger am Ostufer
-+p Eine neue Kette kostet so viel wie ein Boot.
-+p Im Herbst fährt die Fähre nur bei Tag, und die Schule beginnt deshalb später.
--a Das könnte Sie auch interessieren
--a Die Werft aus Tann
--a Das Labor aus Mark
--d Newsletter von Uferblatt bestellen
--d Alle Inhalte von Uferblatt ohne Gewähr. Impressum und Datenschutz beachten.
-""",
-    """
--d To keep this service free we rely on cookies for statistics and advertising. You can change your choice at any time.
-
--a Shop Topics Jobs Events Press
-
--a Tell others about this article
-
-+p 40 lamps in Rosvik
-
--d Written by Nell Brandt, staff writer
-
-+p Each lamp costs less than a night of electric light, which the harbour master proved with a ledger of ten winters.
-
-+p The lamps are lit at dusk by hand, in any weather.
-
-+p Oil 30 litres
-+p Wick 2 metres
-
--a The new quay of Rosvik
--a Notes on the fog horn
--a How Ines repaired the buoy
-
--a Copy link – Share – Save for later
--d © 2019 Harbourlist. Prices may change without notice.
-""",
-    """
--a Thèmes
--a Connexion
--a Aide
-+p L’école du soir de Brey
--d Texte : Paul Aubert
-+p L’école a ouvert une classe pour les charpentiers, et la mairie paie la moitié des outils.
--d Support independent writing at Brey
-+p Les cours commencent après la récolte (22 élèves, Brey).
--a Sur le même sujet
--a Le moulin de Vaux
--a La fontaine de Mers
-+p Un second cours est prévu pour les maçons, si le toit de la salle est fini avant l’hiver.
--d Brey, un projet de l’association Brey. Mentions légales et conditions d’utilisation.
-""",
-)
+#: Labelled by hand.
+PAGES = """
+-d7:100 -d15 +h6 -d4 +p44 +p61 +h5 +p38 +p52 -d3:100 -l5:100*4 -d6 -d12
+-m9:100 -d14 -m8 +h7 -d3 -d7 +p35 +p58 +h6 +p47 -d7:100 +p41 -d5 -d10
+-l1:100*5 -d18 +h5 -d4 +p63 +h4 +t3*4 +p38 -d3:100 -l6:100*3 -m6:100 -d16
++h6 +p71 +p44 +l5 +l13 +l4 +l17 +l6 +p50 -d6 -d11
+-d8:100 +h9 -d6 +p29 +p33 +q14 +p46 +p25 -l2:100 -l6:100*4 -d4
+-m11:100 -m7 +h5 +p24 +h7 +p36 +l15 +l9 +l16 -d4:100 -d6 -d9:100
+-d6:100 -d17 -d8 +h8 +p28 +p40 +q7 +p35 +h3 +t4*5 +p31 -l2:100 -l7:100*5 -d5 -d13
++h4 -d5 +p22 +p57 +p49 -d8
++h5 -d3 -d6 +p90 +p66 +h6 +p72 -d7 -d8 -d14
+-d9:100 +h7 +p34 +l4*3 +l18 +l5 +p43 -l3:100 -l5:100*3 -d5 -d12 -d6:100
+-l1:100 -l2:100 -l1:100*4 -d14 +h6 +p52 +t3*3 +p47 +q12 +p28 -d9 -m5:100
++h5 +p48 +l12 +l14 +l5 +l13 -l2:100 -l6:100*4 -d6
+-m7:100 +h6 -d7 +p37 +q6 +p62 +p33 -d6:100 -d9 -d13
+-d12 +h6 +p28 +p41 +h5 +p55 +h4 +p30 +h6 +p39 -d4 -d7:100
+-d15 -d7:100 +h4 -d3 +p46 +l6 +l15 +l5*2 +l12 -d5:100 -l4:100*3 -m7:100
+-m8 +h8 +p26 +h5 +t3*6 +h6 +t4*4 +p24 -d6 -d12
++h3 +p40 +p36 +q15 -d8:100 +p58 -d12 -d5
+-d4 +h7 +p64 +p51 +l8 +l5 +l9 +p42 +h4 +l16*3 -l3:100 -l6:100*5 -d6 -d14
+-d8:100 +h5 +d32 +d57 +d41 +d38 -d9 -d5:100
+-l1:100*6 -d12 +h6 +d62 +d44 -d5:100 +d37 +d70 -d6 -d10
+-d6 -d9:100 +d46 +d39 +d85 -d7 -d12
+-m7:100 +h5 -d5 +d29 +d33 +d54 +d27 -l2:100 -l5:100*3 -d15
++d40 +d52 -l7 -l6
++d35 +d31 -l9 -l8
++d48 +d66 +d37 -l5 -l11
++h6 +d60 +d33 -l10 -l7
++d29 +d44 -l12 -l9 -l6
+-l8 -l6 +d42 +d57
+-l11 -l7 -l5 +h5 +d36 +d61 +d45
+-l6 -l9 +h7 +p48 +p35 -l7 -l5
+-p9:30 +h5 +p47 +p39 -p12:25 -p6:60
+-p14 +h8 +p53 +p41 +p66 -p7:70 -p11:40
+-p8:50 -l1:100*4 +h6 +p33 +p49 -p10:35
+-p11:20 -d5:100 +h4 +p38 +l5 +l11 +l14 +p40 -p9:45 -p4:100
+-d5 -p13:30 +h6 +p57 +p34 -l4:100*6 -p8:30
+-m9:100 +h3 +p62:30 +p48:45 +p55:25 +l9:60 +l14:35 +p71:40 -d8:100 -d12
+-l2:100*5 +h2 +p84:35 +p66:50 +h2 +p39:45 +p58:30 -l3:100*8 -p11:30
+-d9:100 +h4 +p45:55 +p37:40 +d58:35 +d49:45 -d7 -l2:100*4
+-l1:100*7 +h5 +p52:20 +q22 +p47:50 +p61:10 -l4:80*4 -d9:60
+-d7:100 +h6 +d38:20 +d64:15 +d43:40 -d12:70 -d6:90 -d9
+-d4:100 -d3 -d2:100 +h5 -d3 -d5 +d57 -d4:50 -d6 +d39 -d3:60 -d5 +d28 -d4:100 -d8
+-l3:100*5 +h6 -d2 -d4 +d73 -d5:40 -d2 +d47 -d3:60 -d4 +d34 -d6:100
+-d2:100*6 +h4 -d2 -d4:50 +p37 +h3 +l9 +l12 +l7 +h2 +t2*6 -d3:100*4 -d9:40
+-m6:100 -d3 +h5 -d4 +p26 +t3*8 +p31 -l5:100*6 -d14:20
+-d5:100 +h5 +p35 +t2*4 +h4 +l8 +l10 +l6 +p29 -d2:100 -l4:100*4 -p15:10
+-l1:100*8 -l3:100*12 -d5 -d9:100
+-d6:100 -l5:100*9 -d4 -l6:100*6 -d11
+-m8:100 -d13 -l7:100*4 -d3 -l6:100*5 -d5 -d8:100 -d12
+-d3:100 -d16 -d4:100 -d11 -d2 -d9:80
+-l2:100*6 -d9 -d5 -d12:30 -d7:100 -d3
++h5 +q9 +q14 +p28 +q21 +p34 +h4 +q6 +p41 -d7:100
+-l1:100*4 +h6 +p39 +q5 +q12 +q8 +p26 +h3 +p44 +q17 -d5 -l3:100*3
+-d8:100 +h4 +p21 +q4 +p46 +q3 +q7 +p33 -m5:100 -d11
++h6 -d8 +p34 +p22 +p45 +p29 +p51 +p18 +p37 -d9 -d13:20
++h9 -d4 -d5 +p19 +p24 +p41 +p15 +p32 +h5 +p27 +p36 -l7:100*3 -d8
+-d14 +h7 +p30 +p12 +p44 +p8 +p39 +p26 -d6:100 -d7 -d10
+-m10:100 -d5 +h8 +p41 +p9 +p36 +q11 +p6 +p52 -d7 -d15
+-d17 -m8:100 -m6 +h6 -d7:100 -d6 +p64 +p42 +p38 -d8 -d4:100 -l6:100*4 -d6 -d14
+-d19 -m6:100 +h6 -d5 +p48 +p36 +h5 +p57 -d8 -d21
+-d21 -l1:100*5 +h7 +p66 +p31 -l3:100 -l5:100*3 -d6 -d18
+-d7:100 -d22 -m8 +h5 -d4 +p39 +l14 +l6 +p60 -d19
+-d18 +h6 +p42 +t3*4 +p55 -d5:100 -d20 -m5:100
+-d20 -d8:100 +d47 +d61 -d5 +d39 -l6:100*3 -d19
++h5 +p52 +p30 +p41
++h4 -d4 +p61 +h5 +p34
++h7 +p24 +p58 +p12
+-m7 +h6 +p44 +h5 +p19
++p70 +p47 +p33
+-d6:100 +h6 +p38 +q15
+-d11 +h4 +p55 +p26 +q13
+-m9:100 +h5 -m6 +p49 +p57 +h4 +p36
+-m7:100 -d14 +h5 -m4 -d5 +p33 +p61 -l3:100 -l6:100*3 -d5 -d13
+-d7 -m9 +h6 -m6 +p45 +h4 +p38 +l15 +l12 +p27 -d6 -d4 -m6:100
+-m8:100 -m7 +h7 -m5 -d8 +p58 +t3*5 +p40 -m7:100 -d6 -d10
+-m6:100 +h4 -m6:100 -d3 +p66 +p41 +l16 +l5 +l14 -d7 -d12
++h5 -d3 -m6 +p54 +h5 +t3*3 +p62 -m6:100 -d5 -d11 -m5:100
+-d13 +h5 -d3 +p77 +p52 +h5 +p69 -d4:100 -d6 -d11 -m5:100
+-m9:100 +h6 -d6 +p55 +l6 +l5 +l14 +l4 +l12 +p61 -d7 -l3:100 -l5:100*4 -d13
+-d6:100 +h5 +p49 +l14 +l5*3 +l13 -l2:100 -l5:100*3 -d5 -d12
+-d14 +h7 -d7 +p43 +t3*5 -d4:100 -l5:100*3 -m6:100
+-m7 +h6 +p58 +l15 +l4 +l5 -d6 -d9
++h6 -d4:100 -d7 +p36 +q13 -d12 -m7:100
+-d8:100 -m9 +h8 -d3 +p47 +p39 +h6 +p45 +h5 +p50 +l4 +l15 +l6 +p33 -d6 -d5:100
+"""
