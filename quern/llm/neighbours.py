@@ -1,30 +1,23 @@
 """Problem 4: the k most similar vectors of every vector, by an exact block matrix join.
 
-The vectors of a kind are spread over blocks. A first pass multiplies every block with itself, which gives
-each vector a similarity that k neighbours already reach. A second pass has one tile for every two blocks:
-the product of their int8 codes, with a bound on the quantisation error of each entry, tells which pairs can
-still be among the k best; only these are computed again in double precision, and heaps merge the rest.
+The vectors of a kind are spread over home blocks, which form a ring. Every block stays in its own task and is
+streamed past half of the other blocks, so that any two blocks meet once and a block is sent half as often as
+there are blocks. In a task int8 codes with error bounds tell which pairs can count, see
+:mod:`quern.operators.tiles`; the best rows of all tasks are merged.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import cut
+from quern.operators import tiles
 
-#: Rows of a block, and kinds that are broadcast at most (with more of them their numbers are joined).
-BLOCK_ROWS, BROADCAST_KINDS = 4096, 100_000
+#: Rows of a home block at most; blocks of a kind at least, and rows below which that is not asked for.
+BLOCK_ROWS, LEAST_BLOCKS, SMALL_BLOCK = 65_536, 5, 1024
+#: Kinds whose numbers are broadcast at most (with more of them they are joined), and tasks at most.
+BROADCAST_KINDS, MOST_TASKS = 100_000, 20_000
 DIGITS = 6
-#: Rows of one product, and what rounding to DIGITS and to float32 may add to a similarity.
-TILE_ROWS, _SLACK = 256, 4e-6
-#: Pairs computed again at once: where very many rows tie, memory stays bounded.
-PAIRS_AT_ONCE = 16_384
 
 
 def usable(vectors: DataFrame, model: str = "emb-v1", dim: int = 128) -> DataFrame:
@@ -33,161 +26,33 @@ def usable(vectors: DataFrame, model: str = "emb-v1", dim: int = 128) -> DataFra
     return vectors.where(good).groupBy("owner_kind", "id").agg(F.max_by("embedding", "created_at").alias("embedding"))
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-
-
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scale and norm of the error of each row."""
-    scale = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
-
-
-class Block:
-    """Unit vectors of one block with their int8 codes."""
-
-    def __init__(self, raw: list[bytes]):
-        self.x = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64))
-        self.codes, scale, error = quantise(self.x)
-        self.scale, self.error = scale.astype(np.float32), error.astype(np.float32)
-        self.wide = self.codes.astype(np.float32).T
-
-    def bounds(self, other: Block, rows: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Similarity of some rows with all of ``other`` by their codes, and the greatest error of each entry.
-
-        The products of codes are exact in float32 (128 * 127 * 127 < 2**24).
-        """
-        product = self.codes[rows].astype(np.float32) @ other.wide
-        product *= self.scale[rows, None] * other.scale
-        mine = self.error[rows, None]
-        return product, (1 + mine) * other.error + (mine + np.float32(_SLACK))
-
-    def cosines(self, i: np.ndarray, other: Block, j: np.ndarray) -> np.ndarray:
-        parts = [np.einsum("ij,ij->i", self.x[i[at : at + PAIRS_AT_ONCE]], other.x[j[at : at + PAIRS_AT_ONCE]]) for at in range(0, len(i), PAIRS_AT_ONCE)]
-        return np.round(np.concatenate(parts), DIGITS) if parts else np.empty(0)
-
-
-def _first(rows: np.ndarray, worth: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best entries of each row: least worth, then least rank. However many entries tie, k are left."""
-    order = np.lexsort((rank, worth, rows))
-    ordered = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.empty(0, int)
-    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(order)]]).astype(int)))
-    return order[place < k]
-
-
-def ranks(ids: np.ndarray) -> np.ndarray:
-    """Place of each id in the order of ids."""
-    out = np.empty(len(ids), np.int64)
-    out[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    return out
-
-
-def within(block: Block, ids: np.ndarray, k: int) -> list[list[tuple[float, str]]]:
-    """The k best other rows (-similarity, id) of the same block for each row."""
-    out: list[list[tuple[float, str]]] = [[] for _ in ids]
-    rank = ranks(ids)
-    for at in range(0, len(ids), TILE_ROWS):
-        rows = slice(at, min(at + TILE_ROWS, len(ids)))
-        value, error = block.bounds(block, rows)
-        own = np.arange(rows.start, rows.stop)
-        value[own - at, own] = -9
-        if len(ids) > k:
-            possible = value + error >= np.partition(value - error, -k, axis=1)[:, -k, None]
-        else:
-            possible = np.ones(value.shape, bool)
-        possible[own - at, own] = False
-        i, j = np.nonzero(possible)
-        worth = -block.cosines(i + at, block, j)
-        for e in _first(i, worth, rank[j], k).tolist():
-            out[at + i[e]].append((float(worth[e]), ids[j[e]]))
-    return out
-
-
-def across(left: Block, right: Block, floors: tuple[np.ndarray, np.ndarray], ids: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[tuple[str, str, float]]:
-    """(id, partner, similarity): for the rows of either block the best k rows of the other that reach the row's floor."""
-    left_floor, right_floor = (f.astype(np.float32) for f in floors)
-    left_rank, right_rank = ranks(ids[0]), ranks(ids[1])
-    heaps: dict[int, list[tuple[float, str]]] = {}
-    for at in range(0, len(left_floor), TILE_ROWS):
-        value, error = left.bounds(right, slice(at, at + TILE_ROWS))
-        value += error
-        i, j = np.nonzero(value >= left_floor[at : at + TILE_ROWS, None])
-        worth = -left.cosines(i + at, right, j)
-        for e in _first(i, worth, right_rank[j], k).tolist():
-            yield ids[0][at + i[e]], ids[1][j[e]], -float(worth[e])
-        i, j = np.nonzero(value >= right_floor)
-        worth = -left.cosines(i + at, right, j)
-        for e in _first(j, worth, left_rank[i + at], k).tolist():  # a right row meets the left ones step by step
-            heap = heaps.setdefault(int(j[e]), [])
-            heap.append((float(worth[e]), ids[0][at + i[e]]))
-            if len(heap) > 8 * k:
-                heaps[int(j[e])] = heapq.nsmallest(k, heap)
-    for row, heap in heaps.items():
-        for worth_, name in heapq.nsmallest(k, heap):
-            yield ids[1][row], name, -worth_
-
-
-_NEIGHBOUR = "owner_kind string, id string, neighbour string, similarity double"
-_FOUND = "array<struct<similarity: double, neighbour: string>>"
-
-
-def _strings(values: list[str]) -> pd.Series:
-    return pd.Series(values, dtype=object)
-
-
 def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     """(owner_kind, id, neighbour, similarity): the k most similar other vectors of the same owner_kind.
 
     ``vectors`` has owner_kind, id (each pair once) and embedding, all of one length; null kinds and ids are
     left out. Similarity is the cosine rounded to 6 decimals; ties go to the smaller id. A kind with fewer
-    than k + 1 vectors gives fewer rows, an empty table none. The result is exact.
+    than k + 1 vectors gives fewer rows, an empty table none. The result is exact. A vector is sent once for
+    its own block and once for each of half the other blocks of its kind.
     """
     named = vectors.where("owner_kind is not null and id is not null").select("owner_kind", F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    named = cut(named)
-    kinds = named.groupBy("owner_kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    if kinds.count() <= BROADCAST_KINDS:
-        kinds = F.broadcast(kinds)
+    n = F.count("*")
+    blocks = F.greatest(F.ceil(n / BLOCK_ROWS), F.least(F.lit(LEAST_BLOCKS), F.ceil(n / SMALL_BLOCK))).cast("int")
+    kinds = named.groupBy("owner_kind").agg(blocks.alias("blocks"))
+    several, tasks = kinds.agg(F.count("*"), F.sum("blocks")).first()
+    if several <= BROADCAST_KINDS:
+        first = F.coalesce(F.sum("blocks").over(Window.orderBy("owner_kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kinds = F.broadcast(kinds.withColumn("first", first))
+    else:
+        kinds = kinds.withColumn("first", F.pmod(F.xxhash64("owner_kind"), F.lit(1 << 40)))
     placed = named.join(kinds, "owner_kind").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    def inside(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, raw = rows["id"].to_numpy(object), [np.asarray(v, np.float32).tobytes() for v in rows["embedding"]]
-        best = within(Block(raw), ids, k)
-        return pd.DataFrame(
-            {
-                "owner_kind": _strings(rows["owner_kind"].tolist()),
-                "block": rows["block"].to_numpy(),
-                "blocks": rows["blocks"].to_numpy(),
-                "id": _strings(ids.tolist()),
-                "vector": pd.Series(raw, dtype=object),
-                "floor": [-b[-1][0] if len(b) == k else -2.0 for b in best],
-                "found": pd.Series([[{"similarity": -s, "neighbour": n} for s, n in b] for b in best], dtype=object),
-            }
-        )
-
-    own = cut(placed.groupBy("owner_kind", "block").applyInPandas(inside, f"owner_kind string, block int, blocks int, id string, vector binary, floor double, found {_FOUND}"))
-
-    def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = str(rows["owner_kind"].iloc[0])
-        sides = [rows[rows["block"] == b] for b in sorted(rows["block"].unique())]
-        found: list[tuple[str, str, float]] = []
-        if len(sides) == 2:
-            blocks = [Block(s["vector"].tolist()) for s in sides]
-            floors = tuple(s["floor"].to_numpy(float) for s in sides)
-            found = list(across(*blocks, floors, tuple(s["id"].to_numpy(object) for s in sides), k))
-        out = {"id": [f[0] for f in found], "neighbour": [f[1] for f in found], "similarity": [f[2] for f in found]}
-        return pd.DataFrame({"owner_kind": _strings([kind] * len(out["id"])), "id": _strings(out["id"]), "neighbour": _strings(out["neighbour"]), "similarity": pd.Series(out["similarity"], dtype=float)})
-
-    # every block goes to the tiles with all other blocks of its kind
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = own.where("blocks > 1").select("owner_kind", "block", "id", "vector", "floor", other.alias("other")).where("other <> block")
-    tiles = sent.select("owner_kind", "block", "id", "vector", "floor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    abroad = tiles.groupBy("owner_kind", "low", "high").applyInPandas(tile, _NEIGHBOUR)
-    at_home = own.select("owner_kind", "id", F.explode("found").alias("f")).select("owner_kind", "id", "f.neighbour", "f.similarity")
-    # at most k rows from each block
-    merged = at_home.unionByName(abroad).groupBy("owner_kind", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k).alias("best"))
-    return merged.select("owner_kind", "id", F.explode("best").alias("b")).select("owner_kind", "id", F.col("b.n").alias("neighbour"), (0.0 - F.col("b.s")).alias("similarity"))
+    # block b meets those that follow it on the ring; of two that lie opposite each other the first is at home
+    ahead = F.floor(F.col("blocks") / 2).cast("int") - F.when((F.col("blocks") % 2 == 0) & (F.col("block") < F.col("blocks") / 2), 1).otherwise(0)
+    homes = F.transform(F.sequence(F.lit(0), ahead), lambda d: F.pmod(F.col("block") - d, F.col("blocks")))
+    sent = placed.select("owner_kind", "id", "embedding", "block", "first", F.explode(homes).alias("at"))
+    rows = sent.select((F.col("first") + F.col("at")).alias("home"), (F.col("at") != F.col("block")).cast("int").alias("role"), "owner_kind", "id", "embedding")
+    tasks = max(1, min(MOST_TASKS, tasks or 0))
+    found = tiles.block_join(rows.withColumn("task", F.pmod("home", F.lit(tasks)).cast("int")), tasks, k, DIGITS, mutual=True)
+    return tiles.merged(found, k, "owner_kind", "id").drop("position")
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:
