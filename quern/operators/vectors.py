@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from quern.config import OWNER_KINDS
 from quern.functions.tiers import fresh, recent_enough
+from quern.operators import tiles
 
-#: Queries that one scan answers; more of them are answered in further scans.
-QUERY_BLOCK = 2048
+#: Queries that are at home in one task, vectors that stream past them there, and tasks at most.
+QUERY_BLOCK, VISITORS, MOST_TASKS = 16_384, 8192, 20_000
 DIGITS = 5
+#: Tasks that add the partitions' matrices for the covariance.
+COVARIANCE_FANIN = 8
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -36,60 +39,24 @@ def id_number(column: str = "id") -> Column:
     return F.conv(F.right(column, F.lit(8)), 16, 10).cast("bigint")
 
 
-def _scan(vectors: DataFrame, names: list[str], matrix: np.ndarray, k: int) -> DataFrame:
-    """k nearest rows of ``vectors`` for each query: one pass, k rows a query from each partition, then merged."""
-    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, q = shared.value
-        best: dict[tuple[str, int], list[tuple[float, str]]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kinds, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x = np.asarray(batch.column(2).flatten(), np.float64).reshape(len(ids), -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            distance = np.round(1 - q @ x.T, DIGITS) + 0.0  # no negative zero
-            order = np.array(ids, object)
-            for kind in set(kinds):
-                mine = np.array([i for i, v in enumerate(kinds) if v == kind])
-                part = distance[:, mine]
-                kth = np.partition(part, min(k, len(mine)) - 1, axis=1)[:, min(k, len(mine)) - 1]
-                for row in range(len(queries)):
-                    near = mine[part[row] <= kth[row]]
-                    best[kind, row] = sorted([*best.get((kind, row), []), *zip(distance[row, near].tolist(), order[near].tolist())])[:k]
-        rows = [(kind, queries[row], i, d) for (kind, row), found in best.items() for d, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["owner_kind", "query_id", "id", "distance"])
-
-    found = vectors.select("owner_kind", F.col("id").cast("string"), "embedding").mapInArrow(run, "owner_kind string, query_id string, id string, distance double")
-    order = Window.partitionBy("query_id", "owner_kind").orderBy("distance", "id")
-    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """(query_id, owner_kind, id, distance, position): the k nearest vectors of each kind for every query.
 
     ``vectors`` has owner_kind, id and embedding, ``queries`` id and embedding, all usable and of one length.
-    Distances are rounded to 5 decimals, ties go to the smaller id. Queries are sent to the scan in blocks of
-    QUERY_BLOCK rows; each block reads ``vectors`` once.
+    Distances are rounded to 5 decimals, ties go to the smaller id. Queries stay distributed: blocks of
+    QUERY_BLOCK of them are at home in tasks past which the vectors stream, each once for each block.
     """
     k = k if k > 0 else 8
-    empty = vectors.sparkSession.createDataFrame([], "owner_kind string, query_id string, id string, distance double, position int")
-    out, names, rows = empty, [], []
-
-    def flush(out: DataFrame) -> DataFrame:
-        matrix = np.array(rows, np.float64)
-        done = out.unionByName(_scan(vectors, list(names), matrix / np.linalg.norm(matrix, axis=1, keepdims=True), k))
-        names.clear()
-        rows.clear()
-        return done
-
-    for r in queries.select(F.col("id").cast("string").alias("id"), "embedding").toLocalIterator():
-        names.append(r.id)
-        rows.append(r.embedding)
-        if len(names) == QUERY_BLOCK:
-            out = flush(out)
-    return (flush(out) if names else out).select("query_id", "owner_kind", "id", "distance", "position")
+    homes, splits = (max(1, -(-df.count() // rows)) for df, rows in ((queries, QUERY_BLOCK), (vectors, VISITORS)))
+    by_id = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    name, vector = F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")
+    asked = queries.select(F.lit(0).alias("role"), F.lit("").alias("owner_kind"), name, vector, by_id(homes).alias("block"), every(splits).alias("split"))
+    known = vectors.select(F.lit(1).alias("role"), "owner_kind", name, vector, every(homes).alias("block"), by_id(splits).alias("split"))
+    rows = asked.unionByName(known).withColumn("task", F.col("block") * splits + F.col("split"))
+    found = tiles.block_join(rows.withColumn("home", F.col("task")), min(homes * splits, MOST_TASKS), k, DIGITS, mutual=False)
+    best = tiles.merged(found, k, "owner_kind", "id")
+    return best.select(F.col("id").alias("query_id"), "owner_kind", F.col("neighbour").alias("id"), (F.round(1 - F.col("similarity"), DIGITS) + 0.0).alias("distance"), "position")
 
 
 def retrieved_facts(found: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
@@ -138,7 +105,7 @@ def orphans(vectors: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def covariance(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, covariance and number of vectors; every partition sends one matrix of dim + 1 squared."""
+    """Mean, covariance and number of vectors; the matrices of the partitions are added in rounds of COVARIANCE_FANIN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((dim + 1, dim + 1)), 0
@@ -150,10 +117,18 @@ def covariance(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, in
                 n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["m", "n"])
 
-    total, n = np.zeros((dim + 1, dim + 1)), 0
-    for r in vectors.select("embedding").mapInArrow(run, "m binary, n bigint").toLocalIterator():
-        total += np.frombuffer(r.m).reshape(dim + 1, dim + 1)
-        n += r.n
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((dim + 1) ** 2), 0
+        for batch in batches:
+            for m, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total += np.frombuffer(m)
+                n += count
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["m", "n"])
+
+    sums = vectors.select("embedding").mapInArrow(run, "m binary, n bigint")
+    sums = sums.repartition(COVARIANCE_FANIN).mapInArrow(add, "m binary, n bigint").coalesce(1).mapInArrow(add, "m binary, n bigint")
+    r = sums.first()
+    total, n = np.frombuffer(r.m).reshape(dim + 1, dim + 1), r.n
     if not n:
         return np.zeros(dim), np.zeros((dim, dim)), 0
     mean = total[-1, :-1] / n
