@@ -314,6 +314,23 @@ def test_segments(model):
     assert language.judge_document(model, None) == language.judge_document(model, "") == language.judge_document(model, "123 --") == (None, 0.0, [])
 
 
+def test_other_languages_are_unknown(model):
+    others = ["Wczoraj wieczorem poszliśmy do kina, bo padał deszcz i nie było co robić w domu.", "Dün akşam sinemaya gittik çünkü yağmur yağıyordu ve evde yapacak bir şey yoktu.", "Вчора ввечері ми пішли в кіно, бо падав дощ і вдома не було чого робити."]
+    for text in others:
+        assert language.judge_document(model, text)[0] == language.UNKNOWN and language.judge_document(model, text)[2][0][1] == language.UNKNOWN
+    assert not any(language.judge_document(model, text)[0] == language.UNKNOWN for text in FACTS)
+
+
+def test_confidence_grows_with_the_length(model):
+    short, long = (language.judge_document(model, t)[1] for t in ("le vieux pont a", FACTS[2] * 3))
+    assert 0.3 < short < long <= 1
+
+
+def test_batches_equal_single_texts(model):
+    texts = [None, "", *FACTS, "\n\n", "123 --", "\n".join(FACTS[:3]), "a1b c2 the bridge"]
+    assert language.Judge(model).documents(texts) == [language.judge_document(model, t) for t in texts]
+
+
 def test_line_ends_and_invisible_characters_drop_no_line(model):
     lines = [FACTS[0], FACTS[7], FACTS[1]]
     want = [(0, "en"), (1, "ru"), (2, "de")]
