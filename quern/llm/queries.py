@@ -42,20 +42,20 @@ PAGE_COPIES = signatures.Collection("scrape_cache", words=3, threshold=0.6, leas
 FACT_COPIES = signatures.Collection("memory_facts", words=1, threshold=0.7)
 
 
-def _similar(spark: SparkSession, root: str) -> DataFrame:
+def _copies(spark: SparkSession, root: str) -> list[tuple[signatures.Collection, DataFrame]]:
     pages = _pages(spark, root, "id", "text_content", "updated_at").toDF("id", "text", "order")
     facts = read_table(spark, root, "memory_facts", ["id", "text", "updated_at"]).toDF("id", "text", "order")
-    return signatures.similar_pairs([(PAGE_COPIES, pages), (FACT_COPIES, facts)])
+    return [(PAGE_COPIES, pages), (FACT_COPIES, facts)]
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of near-duplicate pages and facts."""
-    return _similar(spark, root).select("table_name", "id_a", "id_b")
+    return signatures.similar_pairs(_copies(spark, root)).select("table_name", "id_a", "id_b")
 
 
 def p3_groups(spark: SparkSession, root: str) -> DataFrame:
     """Group and number of links of every page and fact that has a near-duplicate."""
-    return signatures.groups(cut(_similar(spark, root)))
+    return signatures.similar_groups(_copies(spark, root))
 
 
 def _nearest(spark: SparkSession, root: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Problem 3: near-duplicates by set overlap, with signature trees.
 
 The trees hang below an exact routing: the tokens of all sets are ordered from rare to frequent, and two
-sets of Jaccard similarity t or more must share one of the first n - ceil(t n) + 1 of their tokens. Records
-that meet at a token form a tree whose nodes hold the OR of their members' bitmaps and the range of their
-sizes; traversing the tree against itself prunes node pairs by the greatest overlap they can have. What is
-left is compared exactly. No pair of sufficient similarity is lost at any step.
+sets of Jaccard similarity t or more must share one of the first n - ceil(t n) + 1 of their tokens. A route is
+a range of tokens; its records form one deep tree whose nodes hold the OR of their members' bitmaps and the
+ranges of their sizes and tokens. Traversing the tree against itself from the root prunes node pairs by the
+greatest overlap they can have. What is left is compared exactly. No pair of sufficient similarity is lost at
+any step. Records with equal sets are one class, which is compared with the others once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.runtime import cut
@@ -30,8 +31,10 @@ _LEAF, _FANOUT = 8, 8
 SMALL_GROUP = 16
 #: So many keys are broadcast at most (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Bits of the filter of keys that candidates name, whatever the size of the data.
-FILTER_BITS = 24
+#: Bits of the filter of keys that candidates name: so many for each candidate, and this power of two at most (16 MB).
+FILTER_BITS_EACH, FILTER_BITS = 8, 27
+#: Copies of a class that meet in one task while pairs are listed; larger classes are salted.
+CLASS_PART = 1000
 _WORD = re.compile(r"[^\W_]+")
 #: Bytes of a token: two sets of a thousand tokens agree in one by chance once in 10**8 pairs.
 TOKEN_BYTES = 6
@@ -215,14 +218,15 @@ def partnered(token: np.ndarray, shape: np.ndarray, thresholds: np.ndarray) -> n
 
 
 def meeting(postings: DataFrame, specs: list[Collection]) -> DataFrame:
-    """(token, key, slot) of the tokens at which sets can meet a partner; slot counts trees of TREE_RECORDS members.
+    """(token, key, slot, n) of the tokens at which sets can meet a partner; slot counts parts of TREE_RECORDS members.
 
     Streams through sorted partitions; however many sets have a token, only a small group is held.
     """
     thresholds = np.array([c.threshold for c in specs])
 
-    def batch_of(token: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array((place // TREE_RECORDS).astype(np.int32))], names=["token", "key", "slot"])
+    def batch_of(token: np.ndarray, key: np.ndarray, shape: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        n = ((shape >> 30) & 0x3FFFFFFF).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array((place // TREE_RECORDS).astype(np.int32)), pa.array(n)], names=["token", "key", "slot", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # the last group, while it is small
@@ -232,7 +236,7 @@ def meeting(postings: DataFrame, specs: list[Collection]) -> DataFrame:
             if given and len(rows[0]):
                 more = int(np.searchsorted(rows[0] != large, True)) if rows[0][0] == large else 0
                 if more:
-                    yield batch_of(rows[0][:more], rows[1][:more], given + np.arange(more))
+                    yield batch_of(*(r[:more] for r in rows), given + np.arange(more))
                     given += more
                 rows = tuple(r[more:] for r in rows)
             if held is not None:
@@ -253,14 +257,14 @@ def meeting(postings: DataFrame, specs: list[Collection]) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
                 place = np.arange(len(token)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(token)]])))
                 if keep.any():
-                    yield batch_of(token[keep], key[keep], place[keep])
+                    yield batch_of(token[keep], key[keep], shape[keep], place[keep])
         if held is not None:
             token, key, shape = held
             keep = partnered(token, shape, thresholds)
             if keep.any():
-                yield batch_of(token[keep], key[keep], np.arange(len(token))[keep])
+                yield batch_of(token[keep], key[keep], shape[keep], np.arange(len(token))[keep])
 
-    return postings.repartition("token").sortWithinPartitions("token", "shape").mapInArrow(run, "token bigint, key bigint, slot int")
+    return postings.repartition("token").sortWithinPartitions("token", "shape").mapInArrow(run, "token bigint, key bigint, slot int, n int")
 
 
 def bitmaps(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -273,43 +277,51 @@ def bitmaps(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """Nodes over a group of sets: OR of the bitmaps, range of the sizes, greatest number of tokens without a bit of their own."""
+    """Nodes over the records of a route: OR of the bitmaps, ranges of the sizes and groups, greatest number of tokens without a bit of their own.
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, threshold: float):
-        self.order = np.lexsort((bits[:, 0], n))
-        n, bits = n[self.order], bits[self.order]
+    ``group`` numbers the tokens at which records meet; a pair counts only within a group. ``thresholds`` may
+    differ between groups; a node has the least one below it.
+    """
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray, thresholds: np.ndarray, group: np.ndarray | None = None):
+        group = np.zeros(len(n), np.int64) if group is None else group
+        self.order = np.lexsort((bits[:, 0], n, group))
+        n, bits, group, t = n[self.order], bits[self.order], group[self.order], thresholds[self.order]
         spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.threshold = threshold
-        self.levels = [(bits, n, n, spare)]
+        self.levels = [(bits, n, n, spare, group, group, t)]
         self.width: list[int] = []
+        self.tested = np.zeros(2, np.int64)  # pairs of nodes and of records looked at
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, spare = self.levels[-1]
             step = _LEAF if len(self.levels) == 1 else _FANOUT
-            at = np.arange(0, len(bits), step)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at)))
+            at = np.arange(0, len(self.levels[-1][0]), step)
+            how = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum, np.minimum)
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip(how, self.levels[-1])))
             self.width.append(step)
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether some pair below the nodes a and b can reach the threshold."""
-        bits, low, high, spare = self.levels[level]
-        t = self.threshold
-        fits = (high[a] >= t * low[b] - 1e-9) & (high[b] >= t * low[a] - 1e-9)
+        """Which pairs of nodes have, by their ranges and bitmaps, some pair below them that can reach its threshold."""
+        bits, low, high, spare, first, last, least = self.levels[level]
+        self.tested[int(level == 0)] += len(a)
+        t = np.minimum(least[a], least[b])
+        meet = (first[a] <= last[b]) & (first[b] <= last[a]) & (high[a] >= t * low[b] - 1e-9) & (high[b] >= t * low[a] - 1e-9)
+        at = np.flatnonzero(meet)
+        a, b, t = a[at], b[at], t[at]
         overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare[b])
         overlap = np.minimum(overlap, np.minimum(high[a], high[b]))
-        return fits & (overlap >= t / (1 + t) * (low[a] + low[b]) - 1e-9)
+        meet[at] = overlap >= t / (1 + t) * (low[a] + low[b]) - 1e-9
+        return meet
 
     def pairs(self, most: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Indexes of pairs of sets that the nodes don't rule out, by traversing the tree against itself."""
+        """Indexes of pairs of records that the nodes don't rule out, by traversing the tree against itself."""
         top = len(self.levels) - 1
-        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))] if top else []
         while stack:
             level, a, b = stack.pop()
             ok = self._possible(level, a, b) | ((a == b) & (level > 0))
             a, b = a[ok], b[ok]
             if level == 0:
-                differ = a != b
-                if differ.any():
-                    yield self.order[a[differ]], self.order[b[differ]]
+                if len(a):
+                    yield self.order[a], self.order[b]
                 continue
             step, below = self.width[level - 1], len(self.levels[level - 1][0])
             for at in range(0, len(a), max(1, most // step**2)):
@@ -317,28 +329,12 @@ class SignatureTree:
                 i, j = np.divmod(np.arange(step * step), step)
                 left = (a[part, None] * step + i).reshape(-1)
                 right = (b[part, None] * step + j).reshape(-1)
-                keep = (left < below) & (right < below) & (left <= right)
+                keep = (left < below) & (right < below) & ((left <= right) if level > 1 else (left < right))
                 stack.append((level - 1, left[keep], right[keep]))
 
 
-def _group_pairs(key: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Possible pairs of one group; where it holds two slots, only pairs across them."""
-    left, right = [], []
-    both = side.min() != side.max()
-    for a, b in SignatureTree(n, bits, threshold).pairs():
-        if both:
-            across = side[a] != side[b]
-            a, b = a[across], b[across]
-        left.append(key[a])
-        right.append(key[b])
-    if not left:
-        return key[:0], key[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
 def tree_candidates(met: DataFrame, sets: DataFrame, specs: list[Collection]) -> DataFrame:
-    """(a, b): distinct pairs of keys that the signature trees leave over."""
+    """(a, b): distinct pairs of keys that the signature trees leave over, one deep tree for each range of tokens."""
     thresholds = [c.threshold for c in specs]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,13 +346,16 @@ def tree_candidates(met: DataFrame, sets: DataFrame, specs: list[Collection]) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([m.tobytes() for m in marks], pa.binary())], names=["key", "tab", "n", "bits"])
 
     described = sets.select("key", "tab", "n", "tokens").mapInArrow(describe, "key bigint, tab int, n int, bits binary")
-    # groups of more than TREE_RECORDS members: every two slots get a tree of their own
-    slots = met.where("slot > 0").groupBy("token").agg((F.max("slot") + 1).alias("slots"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))
-    if (hot := slots.count()) <= BROADCAST_KEYS:
-        slots = F.broadcast(slots)
-    joined = met.join(slots, "token", "left") if hot else met.withColumn("slots", F.lit(1))
-    keyed = joined.select("token", "key", "slot", other.alias("other"))
+    # tokens of more than TREE_RECORDS members: any two parts whose sizes can fit get a group of their own
+    parts = met.groupBy("token", "slot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    hot = parts.join(parts.where("slot > 0").select("token").distinct(), "token", "left_semi")
+    mine, theirs = (hot.select("token", F.col("slot").alias(f"slot{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2))
+    least = min(thresholds)
+    fits = mine.join(theirs, "token").where((F.col("hi1") >= least * F.col("lo2")) & (F.col("hi2") >= least * F.col("lo1"))).select("token", F.col("slot1").alias("slot"), F.col("slot2").alias("other"))
+    if (split := fits.count()) <= BROADCAST_KEYS:
+        fits = F.broadcast(fits)
+    alone = F.col("slot").alias("other")
+    keyed = (met.join(fits, ["token", "slot"], "left").select("token", "key", "slot", F.coalesce("other", "slot").alias("other")) if split else met.select("token", "key", "slot", alone))
     keyed = keyed.select("token", "key", "slot", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"))
     groups = keyed.join(described, "key").select("token", "low", "high", "slot", "key", "tab", "n", "bits")
 
@@ -371,35 +370,16 @@ def tree_candidates(met: DataFrame, sets: DataFrame, specs: list[Collection]) ->
         def emit(data: tuple[np.ndarray, ...]) -> pa.RecordBatch | None:
             token, low, high, slot, key, tab, n, bits = data
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.concatenate([starts, [len(token)]]))
-            t = np.array(thresholds)[tab]
-            n = n.astype(np.int64)
+            tree = SignatureTree(n.astype(np.int64), bits, np.array(thresholds)[tab], np.cumsum(new))
             left, right = [], []
-            # groups of up to _LEAF members are a leaf each: all leaves are tested together
-            group = np.repeat(np.arange(len(starts)), sizes)
-            small = (sizes <= _LEAF)[group]
-            spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-            for step in range(1, _LEAF):
-                a = np.flatnonzero((group[step:] == group[:-step]) & small[step:]) if len(group) > step else np.empty(0, int)
-                if not len(a):
-                    break
-                b = a + step
-                across = (low[a] == high[a]) | (slot[a] != slot[b])
-                a, b = a[across], b[across]
-                fits = (n[a] >= t[a] * n[b] - 1e-9) & (n[b] >= t[a] * n[a] - 1e-9)
-                overlap = np.minimum(np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare[b]), np.minimum(n[a], n[b]))
-                ok = fits & (overlap >= t[a] / (1 + t[a]) * (n[a] + n[b]) - 1e-9)
-                left.append(np.minimum(key[a[ok]], key[b[ok]]))
-                right.append(np.maximum(key[a[ok]], key[b[ok]]))
-            for s, size in zip(starts[sizes > _LEAF].tolist(), sizes[sizes > _LEAF].tolist()):
-                rows = slice(s, s + size)
-                a, b = _group_pairs(key[rows], n[rows], bits[rows], slot[rows], float(t[s]))
-                left.append(a)
-                right.append(b)
+            for a, b in tree.pairs():
+                across = (low[a] == high[a]) | (slot[a] != slot[b])  # a group of two parts counts only across them
+                left.append(key[a[across]])
+                right.append(key[b[across]])
             if not left:
                 return None
-            pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"]) if len(pairs) else None
 
@@ -432,10 +412,10 @@ def leaving_out(sets: DataFrame, keys: DataFrame) -> DataFrame:
 
 def named_only(sets: DataFrame, candidates: DataFrame, side: str) -> DataFrame:
     """(key, tab, tokens) of the sets that candidates may name in column ``side``, by a bitmap of fixed size; the join decides."""
-    key = F.col(side)
-    places = candidates.select(F.pmod(key + F.shiftright(key, 33) * 7919, F.lit(1 << FILTER_BITS)).alias("p"))
+    key, size = F.col(side), 1 << max(15, min(FILTER_BITS, (FILTER_BITS_EACH * candidates.count()).bit_length()))
+    places = candidates.select(F.pmod(key + F.shiftright(key, 33) * 7919, F.lit(size)).alias("p"))
     chunks = places.groupBy(F.floor(F.col("p") / 32_768).alias("chunk")).agg(F.bitmap_construct_agg(F.col("p") % 32_768).alias("bits")).collect()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in chunks:
         bits[r.chunk * 4096 : (r.chunk + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(bits)
@@ -443,7 +423,7 @@ def named_only(sets: DataFrame, candidates: DataFrame, side: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy()
-            p = (key + (key >> 33) * 7919) % (1 << FILTER_BITS)
+            p = (key + (key >> 33) * 7919) % size
             yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
 
     return sets.select("key", "tab", "tokens").mapInArrow(run, "key bigint, tab int, tokens binary")
@@ -471,15 +451,14 @@ def verified(candidates: DataFrame, sets: DataFrame, specs: list[Collection]) ->
     return both.select("tab", "a", "b", "tokens_a", "tokens_b").mapInArrow(run, "tab int, a bigint, b bigint, similarity double")
 
 
-def similar_pairs(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
-    """(table_name, id_a, id_b, similarity), the smaller id first: all pairs of different ids of a table at or above its threshold.
+def similar_classes(tables: list[tuple[Collection, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(tab, id, head, copies) of every record, and (tab, a, b, similarity): the links between classes of equal sets.
 
-    Each table has id, text and order; the newest row of an id counts. Words are maximal runs of letters and
-    digits in lower case. Null, empty and too short texts form no pair. Records with equal sets are compared
-    with others once, as one, and come out with all their pairs. Null ids are left out.
+    A class is named by the key ``head`` of one of its records, ``a`` and ``b`` are heads. Each table has id,
+    text and order; the newest row of an id counts. Words are maximal runs of letters and digits in lower
+    case. Null, empty and too short texts and null ids are left out.
     """
     specs = [c for c, _ in tables]
-    spark = tables[0][1].sparkSession
     sets = cut(token_sets(tables))
     # who is who: narrow rows only
     newest_first = Window.partitionBy("tab", "id").orderBy(F.col("order").desc_nulls_last(), F.col("key"))
@@ -491,24 +470,67 @@ def similar_pairs(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
     out = sets.select("key").join(members.where("key = head").select("key"), "key", "left_anti")
     single = leaving_out(sets, out).select("key", "tab", "n", "tokens")
     met = cut(meeting(routed(single, frequency_sketch(single), specs), specs))
-    pairs = verified(tree_candidates(met, single, specs), single, specs)
-    name = F.element_at(F.array(*[F.lit(c.name) for c in specs]), F.col("tab") + 1)
-    left, right = members.select(F.col("head").alias("a"), F.col("id").alias("x")), members.select(F.col("head").alias("b"), F.col("id").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("tab", "x", "y", "similarity")
-    copies = members.where("copies > 1")
-    equal = copies.select("tab", "head", F.col("id").alias("x")).join(copies.select("head", F.col("id").alias("y")), "head").where("x < y").select("tab", "x", "y", F.lit(1.0).alias("similarity"))
-    return across.unionByName(equal).select(name.alias("table_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+    return members.drop("key"), verified(tree_candidates(met, single, specs), single, specs)
+
+
+def similar_pairs(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
+    """(table_name, id_a, id_b, similarity), the smaller id first: all pairs of different ids of a table at or above its threshold.
+
+    As :func:`similar_classes`, with the classes expanded into all their pairs; large classes meet in parts of
+    CLASS_PART records.
+    """
+    specs = [c for c, _ in tables]
+    members, links = similar_classes(tables)
+    parts = F.ceil(F.col("copies") / CLASS_PART).cast("int")
+    each = F.explode(F.sequence(F.lit(0), parts - 1))
+    salted = members.select("tab", "head", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "copies")
+    sizes = members.where(parts > 1).select("head", parts.alias("parts")).distinct()
+    many = sizes.count() > 0
+
+    def named(pairs: DataFrame, side: str, name: str) -> DataFrame:
+        if not many:
+            return pairs.join(salted.select(F.col("head").alias(side), F.col("id").alias(name)), side)
+        split = pairs.join(sizes.withColumnRenamed("head", side), side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return split.join(salted.select(F.col("head").alias(side), "part", F.col("id").alias(name)), [side, "part"]).drop("part")
+
+    across = named(named(links, "a", "x"), "b", "y").select("tab", "x", "y", "similarity")
+    copies = salted.where("copies > 1")
+    everywhere = copies.select("head", F.col("id").alias("y"), each.alias("part"))
+    equal = copies.select("tab", "head", "part", F.col("id").alias("x")).join(everywhere, ["head", "part"]).where("x < y").select("tab", "x", "y", F.lit(1.0).alias("similarity"))
+    return across.unionByName(equal).select(_table_name(specs).alias("table_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+
+
+def _table_name(specs: list[Collection]) -> Column:
+    return F.element_at(F.array(*[F.lit(c.name) for c in specs]), F.col("tab") + 1)
+
+
+def similar_groups(tables: list[tuple[Collection, DataFrame]]) -> DataFrame:
+    """(table_name, id, group_id, links) of every record that has a near-duplicate; group_id is the least id of its group.
+
+    The groups are those of the classes, so no class is expanded; ``links`` counts the records that a record
+    is linked with, its copies and the members of the classes linked with its own.
+    """
+    specs = [c for c, _ in tables]
+    members, links = similar_classes(tables)
+    classes = members.groupBy("tab", "head").agg(F.min("id").alias("name"), F.max("copies").alias("copies"))
+    links = cut(links.select("tab", "a", "b"))
+    both = links.unionByName(links.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
+    beyond = both.join(classes.select(F.col("head").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("beyond")).withColumnRenamed("a", "head")
+    named = links.join(classes.select(F.col("head").alias("a"), F.col("name").alias("id_a")), "a").join(classes.select(F.col("head").alias("b"), F.col("name").alias("id_b")), "b")
+    roots = components(named.select(F.col("tab").cast("string").alias("table_name"), "id_a", "id_b")).select(F.col("table_name").cast("int").alias("tab"), F.col("id").alias("name"), "group_id")
+    known = classes.join(beyond, "head", "left").join(roots, ["tab", "name"], "left").where("copies > 1 or beyond is not null")
+    told = known.select("head", F.coalesce("group_id", "name").alias("group_id"), (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
+    return members.select("tab", "head", "id").join(told, "head").select(_table_name(specs).alias("table_name"), "id", "group_id", "links")
 
 
-def groups(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(table_name, id, group_id, links): the connected groups that pairs form; group_id is the least id.
+def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(table_name, id, group_id) of every id in (table_name, id_a, id_b): the connected groups; group_id is the least id.
 
     Alternates two steps that link every record to the least id it knows, each a join and an aggregation
     without collecting anyone's neighbours, until nothing changes.
     """
-    links = pairs.select("table_name", F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))).alias("p"))
-    degree = links.groupBy("table_name", F.col("p.id_a").alias("id")).agg(F.count("*").alias("links"))
     edges = cut(pairs.select("table_name", F.col("id_b").alias("u"), F.col("id_a").alias("v")).distinct())
+    ids = edges.select("table_name", F.col("u").alias("id")).unionByName(edges.select("table_name", F.col("v").alias("id"))).distinct()
     state = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select("table_name", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -524,4 +546,4 @@ def groups(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("the groups did not settle")
     roots = edges.select("table_name", F.col("u").alias("id"), F.col("v").alias("group_id"))
-    return degree.join(roots, ["table_name", "id"], "left").select("table_name", "id", F.coalesce("group_id", "id").alias("group_id"), "links")
+    return ids.join(roots, ["table_name", "id"], "left").select("table_name", "id", F.coalesce("group_id", "id").alias("group_id"))

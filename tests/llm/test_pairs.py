@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import mixing, neighbours, repeated, signatures
 
@@ -43,6 +44,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch, small):
     if small:  # so small that groups are split into several trees
         monkeypatch.setattr(signatures, "TREE_RECORDS", 12)
         monkeypatch.setattr(signatures, "SMALL_GROUP", 3)
+        monkeypatch.setattr(signatures, "CLASS_PART", 2)
     rng = random.Random(5)
     pages, facts = copies(rng, 150, 400, 9), copies(rng, 150, 40, 12)
     pages |= {"900": None, "901": "", "902": pages["003"], "903": pages["003"]}
@@ -52,7 +54,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch, small):
     got = {(r.table_name, r.id_a, r.id_b) for r in rows}
     want = {("p", *x) for x in brute(pages, 3, 0.6, 15)} | {("f", *x) for x in brute(facts, 1, 0.7)}
     assert got == want and len(rows) == len(got) and len(want) > 100
-    groups = signatures.groups(spark.createDataFrame(rows)).collect()
+    groups = signatures.similar_groups(specs).collect()
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
     for t, a, b in want:
@@ -75,11 +77,42 @@ def test_tree_loses_no_pair():
     sets = [np.unique(np.concatenate([rng.choice(f, rng.integers(35, 60), replace=False), rng.choice(2**40, 5)])) for f in families for _ in range(9)]
     ends = np.cumsum([0] + [len(s) for s in sets])
     bits = signatures.bitmaps(np.concatenate(sets), ends)
-    found = {(min(a, b), max(a, b)) for x, y in signatures.SignatureTree(np.diff(ends), bits, 0.6).pairs(most=200) for a, b in zip(x.tolist(), y.tolist())}
+    found = {(min(a, b), max(a, b)) for x, y in signatures.SignatureTree(np.diff(ends), bits, np.full(len(sets), 0.6)).pairs(most=200) for a, b in zip(x.tolist(), y.tolist())}
     want = {(a, b) for a, b in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))}
     assert want and want <= found and len(found) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_tree_prunes_whole_nodes():
+    rng = np.random.default_rng(7)
+    n = 4000  # a route of 800 tokens, at each of which a few records meet
+    group = np.sort(rng.integers(0, 800, n))
+    sets = [rng.choice(2**40, rng.integers(20, 60)) for _ in range(n)]
+    for i in range(0, n - 1, 50):
+        if group[i] == group[i + 1]:
+            sets[i + 1] = sets[i]
+    ends = np.cumsum([0] + [len(s) for s in sets])
+    tree = signatures.SignatureTree(np.diff(ends), signatures.bitmaps(np.concatenate(sets), ends), np.full(n, 0.7), group)
+    left = sum(len(a) for a, _ in tree.pairs())
+    assert len(tree.levels) >= 5 and left >= 50
+    assert tree.tested.sum() < n * 20 and left < 0.1 * sum(c * (c - 1) / 2 for c in np.bincount(group))
+
+
+def test_a_token_of_very_many_sets():
+    """Ten thousand sets that share one token: sizes and bitmaps leave few of the 50 million pairs."""
+    rng = np.random.default_rng(8)
+    sets = [np.concatenate([[1], rng.integers(2, 2**40, rng.integers(20, 200))]) for _ in range(10_000)]
+    ends = np.cumsum([0] + [len(s) for s in sets])
+    tree = signatures.SignatureTree(np.diff(ends), signatures.bitmaps(np.concatenate(sets), ends), np.full(len(sets), 0.7))
+    assert sum(len(a) for a, _ in tree.pairs()) < 1000 and tree.tested.sum() < 25_000_000
+
+
+def test_very_many_copies_are_one_class(spark):
+    text, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(19))
+    df = spark.range(30_000).selectExpr("cast(id as string) id", f"if(id = 7, '{other}', '{text}') text").withColumn("order", F.lit(NOW))
+    rows = signatures.similar_groups([(signatures.Collection("p", 1, 0.7), df)])
+    assert {tuple(r) for r in rows.groupBy("group_id", "links").count().collect()} == {("0", 29_999, 30_000)}
+
+
 def test_packing():
     x = np.sort(np.random.default_rng(0).integers(0, 2**48, 1000))
     assert (signatures.unpacked(signatures.packed(x)) == x).all() and len(signatures.packed(x)) == 6000 and len(signatures.unpacked(b"")) == 0
