@@ -180,6 +180,32 @@ def test_repeated_lines_equal_counting(spark, monkeypatch):
     assert {(r.id, r.line_no) for r in rows} == want and len(rows) == len(want) > 50
 
 
+@pytest.mark.parametrize("places", [[0], [5, 9, 32_767], list(range(100, 9000)), list(range(0, 32_768, 3)), [1, 2, 3, 4, 5, 6, 9]])
+def test_bitmaps_are_compressed_and_exact(places):
+    bitmap = repeated.packed(np.array(places))
+    assert repeated.unpacked(bitmap).tolist() == places and len(bitmap) <= min(4097, 1 + 2 * len(places))
+    other = np.arange(0, 32_768, 7)
+    assert repeated.unpacked(repeated.united([bitmap, repeated.packed(other), bitmap])).tolist() == sorted(set(places) | set(other.tolist()))
+
+
+def test_the_lookup_decides(spark, monkeypatch):
+    pages = spark.createDataFrame([(f"{i}", f"u{i}", f"same\nonly {i}", NOW) for i in range(8)], "id string, url string, text_content string, updated_at timestamp")
+    urls = spark.createDataFrame([(f"u{i}", "a.example") for i in range(8)], "url string, domain string")
+    assert {(r.id, r.line_no) for r in repeated.repeated_lines(pages, urls).collect()} == {(f"{i}", 0) for i in range(8)}
+    whole = repeated.looked_up
+    monkeypatch.setattr(repeated, "looked_up", lambda bitmaps: whole(bitmaps).where("ordinal < 3"))
+    assert repeated.repeated_lines(pages, urls).count() == 3
+
+
+def test_salted_sites_and_parts(spark, monkeypatch):
+    pages = spark.createDataFrame([(f"{i}", f"u{i}", f"same\nonly {i}\nSAME", NOW) for i in range(50)], "id string, url string, text_content string, updated_at timestamp")
+    urls = spark.createDataFrame([(f"u{i}", "a.example" if i < 40 else "b.example") for i in range(50)], "url string, domain string")
+    monkeypatch.setattr(repeated, "CHUNK_DOCUMENTS", 6)
+    want = {tuple(r) for r in repeated.repeated_lines(pages, urls).collect()}
+    monkeypatch.setattr(repeated, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in repeated.repeated_lines(pages, urls).collect()} == want and len(want) == 100
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(10)
     rows = [(i, "big" if i % 10 else "tiny", rng.randrange(1, 200)) for i in range(2000)] + [(9000, None, 5), (9001, "unknown", 5), (9002, "big", 0), (9003, "big", None)]
