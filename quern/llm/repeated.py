@@ -165,8 +165,8 @@ def repeated_lines(pages: DataFrame, urls: DataFrame, least_documents: int = LEA
     line that a page holds twice counts once but is reported at both places. Null ids form one page; other
     columns are not read.
     """
-    documents = numbered(line_hashes(pages).join(sites(urls), "url").select("site", "id", "lines"))
-    kept = cut(documents.withColumn("site", F.xxhash64("site")))
+    located = cut(line_hashes(pages).join(sites(urls), "url").select(F.xxhash64("site").alias("site"), "id", "lines"))  # hashed once
+    kept = cut(numbered(located))
     enough = lambda n, d: (n >= least_documents) & (n >= least_share * d)
     lines = kept.select("site", "site_documents", "part", "chunk", "ordinal", F.explode("lines").alias("l")).select("site", "site_documents", "part", "chunk", "ordinal", "l.line", "l.variant")
     # a line that does not even occur often enough needs no bitmap
