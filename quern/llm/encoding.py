@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import newest
+from quern.runtime import cut, newest
 
 #: Latin to Cyrillic and general punctuation to box drawing keep their own symbols, all else falls into 64 classes.
 _LOW, _MID_FROM, _MID_TO, _CLASSES = 0x530, 0x2000, 0x2600, 64
@@ -29,8 +29,10 @@ SYMBOLS = _LOW + (_MID_TO - _MID_FROM) + _CLASSES
 PRIOR_SHARE = 0.005
 #: A pair speaks for a garbled run below this mutual information (bits); an ASCII pair speaks against with GAP.
 THRESHOLD, GAP = -0.7, 0.35
-#: A restored character must occur in this share of all texts.
-LEAST_SHARE = 0.002
+#: A restored character must occur in so many texts of the corpus, unless the word around it has letters of its script.
+LEAST_TEXTS = 3
+#: Pairs rarer than this are all alike (bits of mutual information); they need not be counted apart.
+LEAST_BITS = -8.0
 #: Single-byte tables that UTF-8 is read with by mistake, and those that Cyrillic is mixed up between.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "cp1254", "iso8859-15", "iso8859-2")
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
@@ -268,7 +270,7 @@ class PairModel:
             expected = np.outer(share, share) + np.float32(PRIOR_SHARE)
             seen = np.zeros((SYMBOLS, SYMBOLS), np.float32)
             seen.reshape(-1)[self.keys] = self.counts / self.texts
-            self._dense = np.log2((seen + np.float32(0.25 / self.texts)) / expected).astype(np.float16)
+            self._dense = np.maximum(np.log2((seen + np.float32(0.25 / self.texts)) / expected), LEAST_BITS).astype(np.float16)
         return self._dense
 
     def mean_bits(self, text: str) -> float:
@@ -278,10 +280,10 @@ class PairModel:
         return float(self.dense[s[:-1][keep], s[1:][keep]].mean(dtype=np.float32)) if keep.any() else 0.0
 
     def common(self, text: str) -> bool:
-        """Whether the corpus uses every non-ASCII character of ``text`` regularly."""
+        """Whether the corpus has every non-ASCII character of ``text``."""
         s = symbols(text)
         s = s[s >= 128]
-        return bool(len(s)) and bool((self.single[s] >= LEAST_SHARE * self.texts).all())
+        return bool(len(s)) and bool((self.single[s] >= LEAST_TEXTS).all())
 
 
 def maximal_segments(values: list[float]) -> list[tuple[int, int]]:
@@ -443,8 +445,15 @@ def fields_of(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def fit(df: DataFrame, fields: tuple[str, ...] = ("title", "text_content")) -> PairModel:
-    """Mutual information of character pairs over all texts of ``fields``; at most SYMBOLS squared pairs."""
-    return PairModel.of([(r.key, r.n) for r in pair_frequencies(fields_of(df, fields)).collect()])
+    """Mutual information of character pairs over all texts of ``fields``.
+
+    Pairs whose share alone puts them at LEAST_BITS are left out before the counts come to the driver, as
+    two columns of numbers; what is left is bounded by SYMBOLS squared whatever the number of texts.
+    """
+    counts = cut(pair_frequencies(fields_of(df, fields)))
+    texts = counts.where(F.col("key") == -SYMBOLS - 1).agg(F.sum("n")).first()[0] or 0
+    table = counts.where((F.col("key") < 0) | (F.col("n") + 0.25 > PRIOR_SHARE * 2.0**LEAST_BITS * texts)).toArrow()
+    return PairModel.of(list(zip(*(table.column(c).to_pylist() for c in ("key", "n")))))
 
 
 def restore(df: DataFrame, model: PairModel, fields: tuple[str, ...] = ("title", "text_content"), id_column: str = "id", order_column: str = "updated_at") -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import if_small
+from quern.runtime import cut, if_small
 
-#: Rows of a source are spread over so many hash ranges, so that no running sum sees a whole source.
-RANGES_PER_SOURCE = 256  # the top 8 bits of the hash
+#: Rows of a source are spread over ranges of their hash with about so many rows each, so that no running sum sees
+#: a whole source; bits of the hash that number the ranges.
+RANGE_ROWS, RANGE_BITS = 65_536, (8, 20)
 
 
 def default_schedule(targets: DataFrame) -> DataFrame:
@@ -74,12 +75,13 @@ def mix(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None,
     """
     targets = targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
     sized = sized.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
-    plan = _demand(sized, targets, total_tokens).where("demand > 0")
+    plan = cut(_demand(sized, targets, total_tokens).where("demand > 0"))
+    bits = min(RANGE_BITS[1], max(RANGE_BITS[0], (sized.count() // RANGE_ROWS).bit_length()))
     keyed = sized.where("n_tokens > 0").join(if_small(plan.select("source")), "source", "left_semi")
-    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright("h", 56))
-    sums = keyed.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))  # RANGES_PER_SOURCE rows a source at most
+    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright("h", 64 - bits))
+    sums = keyed.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))  # 2 ** bits rows a source at most
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "range", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
+    offsets = cut(sums.select("source", "range", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset")))
     within = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         keyed.join(if_small(offsets), ["source", "range"])

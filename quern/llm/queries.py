@@ -116,8 +116,7 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def _sized(spark: SparkSession, root: str) -> DataFrame:
     documents = read_table(spark, root, "documents", ["doc_id", "text", "source"])
-    counted = tokens.count_tokens(documents, "doc_id", "text").withColumnRenamed("doc_id", "id")
-    return cut(documents.select("doc_id", "source").join(counted, F.col("doc_id") == F.col("id")).select("doc_id", "source", "n_tokens"))
+    return cut(tokens.count_tokens(documents, "doc_id", "text", carried=("source",)))
 
 
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:

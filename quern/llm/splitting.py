@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,26 @@ def units(text: str, level: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def small_units(text: str, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units for a text with an unbroken part over ``limit``: its words with the space after them, that part by its characters.
+
+    Characters are grapheme clusters, unless one of these is over the limit itself.
+    """
+    starts = units(text, "word")[0]
+    ends = np.concatenate([starts[1:], [len(text)]])
+    out = []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        if offsets[b] - offsets[a] <= limit:
+            out.append(np.array([a]))
+            continue
+        part = text[a:b]
+        places = np.arange(a, b) if part.isascii() else np.array([a + m.start() for m in regex.finditer(r"\X", part)])
+        sizes = offsets[np.concatenate([places[1:], [b]])] - offsets[places]
+        out.append(places if sizes.max() <= limit else np.arange(a, b))
+    starts = np.concatenate(out)
+    return starts, np.concatenate([starts[1:], [len(text)]])
+
+
 def boundary_level(text: str, offsets: np.ndarray, limit: int = LIMIT_BYTES) -> str:
     """The first level of LEVELS at which no unit is larger than ``limit`` bytes."""
     for level in LEVELS[:-1]:
@@ -117,25 +138,25 @@ def split_text(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES
     level = boundary_level(text, offsets, limit)
     if offsets[-1] <= limit:
         return level, [Piece(0, len(text), 0, text)]
-    if level == "none":
-        starts, ends, depth = np.arange(len(text)), np.arange(1, len(text) + 1), np.zeros(len(text))
-        starts = np.concatenate([starts, [len(text)]])[: len(text)]
-    else:
-        starts, ends = units(text, level)
-        marks = [m.start() for m in _WORD.finditer(text)]
-        similarity = cohesion([m.group().lower() for m in _WORD.finditer(text)])
-        depth = valley_depths(similarity[np.searchsorted(marks, ends)])
+    starts, ends = units(text, level) if level != "none" else small_units(text, offsets, limit)
+    marks = [m.start() for m in _WORD.finditer(text)]
+    similarity = cohesion([m.group().lower() for m in _WORD.finditer(text)])
+    depth = valley_depths(similarity[np.searchsorted(marks, ends)])
+    if level == "none":  # a cut inside a word is the last resort
+        inside = (ends < len(text)) & ~np.isin(ends, units(text, "word")[0])
+        depth[inside] = -1.0
+    until = offsets[ends]
     next_start = np.concatenate([starts[1:], [len(text)]])
     pieces: list[Piece] = []
     unit, begin = 0, 0
     while unit < len(ends):
         reserve = overlap if pieces else 0
         # the last unit that fits, with room for the overlap if there is any such unit
-        last = int(np.searchsorted(offsets[ends], offsets[begin] + limit - reserve, "right")) - 1
+        last = int(np.searchsorted(until, offsets[begin] + limit - reserve, "right")) - 1
         if last < unit:
-            last = int(np.searchsorted(offsets[ends], offsets[begin] + limit, "right")) - 1
+            last = int(np.searchsorted(until, offsets[begin] + limit, "right")) - 1
         if last < len(ends) - 1:
-            first = int(np.searchsorted(offsets[ends], offsets[begin] + int(limit * LEAST_FILL), "left"))
+            first = int(np.searchsorted(until, offsets[begin] + int(limit * LEAST_FILL), "left"))
             first = min(max(first, unit), last)
             window = depth[first : last + 1]
             last = first + int(np.flatnonzero(window == window.max())[-1])

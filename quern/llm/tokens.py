@@ -154,15 +154,16 @@ def encode_corpus(df: DataFrame, id_column: str, text_column: str, ranks_path: s
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {id_type}, `{ids_column}` array<int>")
 
 
-def count_tokens(df: DataFrame, id_column: str, text_column: str, ranks_path: str = DEFAULT_RANKS, count_column: str = "n_tokens") -> DataFrame:
-    """As :func:`encode_corpus`, but with the number of tokens (bigint; 0 for null and empty texts)."""
-    id_type = dict(df.dtypes)[id_column]
+def count_tokens(df: DataFrame, id_column: str, text_column: str, ranks_path: str = DEFAULT_RANKS, count_column: str = "n_tokens", carried: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`encode_corpus`, but with the number of tokens (bigint; 0 for null and empty texts) and the columns ``carried``."""
+    types = dict(df.dtypes)
+    kept = (id_column, *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path)
         for whole in batches:
             for batch in _slices(whole):
-                n = [len(x) for x in bpe.encode_batch(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[id_column, count_column])
+                n = [len(x) for x in bpe.encode_batch(batch.column(len(kept)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(n, pa.int64())], names=[*kept, count_column])
 
-    return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {id_type}, `{count_column}` bigint")
+    return df.select(*kept, text_column).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{count_column}` bigint"]))

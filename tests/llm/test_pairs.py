@@ -206,6 +206,14 @@ def test_salted_sites_and_parts(spark, monkeypatch):
     assert {tuple(r) for r in repeated.repeated_lines(pages, urls).collect()} == want and len(want) == 100
 
 
+def test_repeated_rows_and_null_ids_are_counted_once_each(spark):
+    from quern.llm import tokens
+
+    rows = [(1, "one two", "a"), (1, "one two", "a"), (None, "three", "b"), (None, None, None)]
+    got = tokens.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", carried=("source",)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a", 2), (1, "a", 2), (None, "b", 1), (None, None, 0)], key=str)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(10)
     rows = [(i, "big" if i % 10 else "tiny", rng.randrange(1, 200)) for i in range(2000)] + [(9000, None, 5), (9001, "unknown", 5), (9002, "big", 0), (9003, "big", None)]

@@ -113,6 +113,27 @@ def test_boundary_level(text, level):
     assert splitting.boundary_level(text, splitting.byte_offsets(text), 10) == level
 
 
+def test_an_unbroken_part_leaves_the_rest_its_boundaries():
+    text = " ".join(["alpha beta gamma."] * 30) + "\n" + "x" * 900 + "\n" + " ".join(["delta epsilon."] * 40)
+    level, pieces = splitting.split_text(text, 400, 20)
+    assert level == "none" and "".join(text[p.start : p.end] for p in pieces) == text and max(len(p.text.encode()) for p in pieces) <= 400
+    cuts = [p.end for p in pieces[:-1]]
+    assert all(text[c - 1] in " \n" or "x" in text[c - 1 : c + 1] for c in cuts)
+    accents = "e\u0301" * 300
+    assert all(len(text) % 2 == 0 for text in (p.text for p in splitting.split_text(accents, 100, 0)[1]))
+
+
+def test_unbroken_texts_take_linear_time():
+    import time
+
+    times = []
+    for n in (200_000, 1_600_000):
+        began = time.perf_counter()
+        splitting.split_text("a" * n)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 24 * max(times[0], 0.02)
+
+
 def test_cut_falls_into_the_topic_change():
     rng = random.Random(1)
     one, two = ["boat", "harbour", "sail", "rope", "tide"], ["oven", "bread", "flour", "yeast", "crust"]
@@ -177,6 +198,17 @@ def test_garble_of_many_texts_does_not_become_probable(spark, wrong):
     assert not any(encoding.repair(model, t)[0] for t in right[120:])
 
 
+def test_a_language_of_one_text_is_found(pairs):
+    polish = "Zażółć gęślą jaźń, a potem łódź płynęła wzdłuż brzegu rzeki."
+    for wrong in ("cp1252", "cp1250", "mac_roman", "cp437"):
+        assert encoding.repair(pairs, "".join(encoding._CHARS[wrong][b] for b in polish.encode())) == (True, polish, 0)
+
+
+def test_rare_pairs_stay_with_the_executors(spark):
+    model = encoding.fit(spark.createDataFrame([(f"é{chr(0x400 + i % 200)}", "ä") for i in range(400)], "title string, text_content string"))
+    assert model.texts > 0 and model.dense.min() >= encoding.LEAST_BITS
+
+
 def test_sequences_need_no_corpus():
     assert encoding.sequences("cafÃ© â€“ 5Â°") == [(3, 5, "é"), (6, 9, "–"), (11, 13, "°")]
     for text in [*FACTS, "Рёбра и ребёнок, Её всё", "mot —à la fin, l’été", "„Ä“ und „Ö”", "«Группа В» и другие", "В\xa0Москве", "──┐ │", "“Ã©” is garbled"]:
