@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.config import JOB_STATUSES, Jobs
 from quern.functions.tiers import interval
-from quern.operators.stats import zero_filled
+from quern.operators.records import zero_filled
 
 
 def enqueued(jobs: DataFrame, new: DataFrame, now: datetime) -> DataFrame:

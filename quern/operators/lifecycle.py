@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import Tiers
+from quern.functions.ids import minted_id
 from quern.functions.tiers import expiry, interval, promoted
 
 
-def upsert(state: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
+def upsert(state: DataFrame, changes: DataFrame, key: str | list[str], keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
     """Rows of ``changes`` replace those with the same key, but ``keep`` stays; new keys are added.
 
-    ``changes`` has the columns of ``state`` and one row for each key. A null key matches nothing.
+    ``changes`` has the columns of ``state`` and one row for each key, of one column or several. A null key
+    matches nothing.
     """
-    new = changes.select(F.col(key), F.struct(*[c for c in state.columns if c != key]).alias("__new"))
-    joined = state.select(F.col(key), F.struct(*[c for c in state.columns if c != key]).alias("__old")).join(new, key, "full_outer")
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in state.columns if c not in keys]
+    new = changes.select(*keys, F.struct(*rest).alias("__new"))
+    joined = state.select(*keys, F.struct(*rest).alias("__old")).join(new, keys, "full_outer")
     pick = lambda c: F.coalesce(f"__old.{c}", f"__new.{c}") if c in keep else F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(f"__old.{c}"))
-    return joined.select(*[F.col(key) if c == key else pick(c).alias(c) for c in state.columns])
+    return joined.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in state.columns])
 
 
 def insert_or_ignore(state: DataFrame, rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -46,6 +50,40 @@ def stored_searches(cache: DataFrame, answers: DataFrame, now: datetime, setting
     return upsert(cache, fresh.select(*cache.columns), "query_norm")
 
 
+def saved_pages(cache: DataFrame, fetched: DataFrame, now: datetime, settings: Tiers = Tiers()) -> DataFrame:
+    """The page cache after fetches, one row for each url, of failed and forbidden ones too.
+
+    Whatever was cached, a fetched page is short-lived again, has no hits and the hash of its new content; id
+    and creation stay. Columns of ``cache`` that ``fetched`` lacks are null; new pages get a minted id.
+    """
+    at = F.lit(now)
+    have = lambda c: F.col(c) if c in fetched.columns else F.lit(None)
+    content = F.coalesce(*[F.nullif(have(c).cast("string"), F.lit("")) for c in ("text_content", "clean_html", "raw_html")])
+    ruled = {"id": minted_id(at, F.col("url")), "tier": F.lit("short"), "hit_count": F.lit(0), "content_hash": F.sha2(content, 256), "expires_at": expiry(at, F.lit("short"), settings), "fetched_at": at, "created_at": at, "updated_at": at}
+    types = dict(cache.dtypes)
+    return upsert(cache, fetched.select(*[(ruled[c] if c in ruled else have(c)).cast(types[c]).alias(c) for c in cache.columns]), "url")
+
+
+def started_runs(runs: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
+    """The runs with new ones (id, mode, artifact_dir), begun now and not finished; ids that are there stay as they are."""
+    at = F.lit(now)
+    rows = new.dropDuplicates(["id"]).join(runs.select("id"), "id", "left_anti").select("id", "mode", "artifact_dir", at.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), at.alias("created_at"))
+    return runs.unionByName(rows.select(*runs.columns))
+
+
+def finished_runs(runs: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
+    """The runs with those of ``ids`` (id) finished now."""
+    done = runs.join(ids.select("id").distinct().withColumn("__done", F.lit(True)), "id", "left")
+    return done.withColumn("finished_at", F.when(F.col("__done"), F.lit(now)).otherwise(F.col("finished_at"))).select(*runs.columns)
+
+
+def trimmed_raw(raw: DataFrame, now: datetime, max_age: timedelta, keep_last: int) -> DataFrame:
+    """Result pages (search_raw) without those that are older than ``max_age`` and not among the ``keep_last`` newest."""
+    kept = raw.select("id", "created_at").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(max(0, keep_last)).select("id", F.lit(True).alias("__kept"))
+    marked = raw.join(F.broadcast(kept), "id", "left")  # keep_last rows
+    return marked.where((F.col("created_at") >= F.lit(now) - interval(max_age)) | F.col("__kept")).select(*raw.columns)
+
+
 def to_embed(cache: DataFrame, answers: DataFrame) -> DataFrame:
     """Queries that are new to the cache and need a vector."""
     return answers.join(cache.select("query_norm"), "query_norm", "left_anti").select("query_norm", "query")

@@ -52,8 +52,9 @@ def cached_searches_page(spark: SparkSession, root: str, tier: str | None = None
 
 def cached_pages(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None, run_id: str | None = None) -> DataFrame:
     """Cached pages without their bodies, which are not read."""
-    rows = records(spark, root, "scrape_cache", "url", "run_id", "http_status", "title", "tier", "hit_count", "fetched_at")
-    return rows.where(all_of([equals("tier", tier), holds("url", q), equals("run_id", run_id)]))
+    fixed = all_of([holds("url", q), equals("run_id", run_id)])  # alike in all deliveries of a page, so asked of the scan
+    rows = records(spark, root, "scrape_cache", "url", "run_id", "http_status", "title", "tier", "hit_count", "fetched_at", where=fixed)
+    return rows.where(all_of([equals("tier", tier)]))
 
 
 def cached_pages_page(spark: SparkSession, root: str, tier: str | None = None, q: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.config import NODE_KINDS, Observability
-from quern.operators.records import records
+from quern.operators.records import records, zero_filled
 from quern.operators.runs import linked
-from quern.operators.stats import zero_filled
 from quern.runtime import cut
 
 
@@ -17,21 +18,22 @@ def fact_vectors(spark: SparkSession, root: str) -> DataFrame:
     return records(spark, root, "vectors").where("owner_kind = 'memory'").select("id").distinct()
 
 
-def facts_with_presence(spark: SparkSession, root: str) -> DataFrame:
-    """(id, source_url, has_vector) of every fact."""
+def facts_with_presence(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """(id, source_url, ``columns``, has_vector) of every fact."""
     marked = fact_vectors(spark, root).withColumn("v", F.lit(True))
-    return records(spark, root, "memory_facts", "source_url").join(marked, "id", "left").select("id", "source_url", F.col("v").isNotNull().alias("has_vector"))
+    return records(spark, root, "memory_facts", "source_url", *columns).join(marked, "id", "left").select("id", "source_url", *columns, F.col("v").isNotNull().alias("has_vector"))
 
 
-def url_provenance(spark: SparkSession, root: str) -> DataFrame:
-    """For every address that is registered, scraped or a source of facts: what led to it and what came of it.
+def url_provenance(spark: SparkSession, root: str, url: str | None = None) -> DataFrame:
+    """For every address that is registered, scraped or a source of facts, or for one: what led to it and what came of it.
 
     The three sides are reduced to one row for each address before they meet, so no address is a hot key.
     """
-    found = linked(spark, root).groupBy("url").agg(F.count("*").alias("found_by"), F.min("rank").alias("best_rank"))
-    known = records(spark, root, "urls", "url").groupBy("url").agg(F.min("id").alias("url_id"))
-    scraped = records(spark, root, "scrape_cache", "url").groupBy("url").agg(F.min("id").alias("scrape_id"))
-    facts = facts_with_presence(spark, root).where("source_url is not null").groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("facts"), F.count_if("has_vector").alias("facts_with_vector"))
+    only = F.col("url") == url if url is not None else None
+    found = linked(spark, root, url=url).groupBy("url").agg(F.count("*").alias("found_by"), F.min("rank").alias("best_rank"))
+    known = records(spark, root, "urls", "url", where=only).groupBy("url").agg(F.min("id").alias("url_id"))
+    scraped = records(spark, root, "scrape_cache", "url", where=only).groupBy("url").agg(F.min("id").alias("scrape_id"))
+    facts = facts_with_presence(spark, root).where(F.col("source_url") == url if url is not None else F.col("source_url").isNotNull()).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("facts"), F.count_if("has_vector").alias("facts_with_vector"))
     joined = known.join(scraped, "url", "full_outer").join(found, "url", "left").join(facts, "url", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select("url", "url_id", "scrape_id", zero("found_by"), zero("best_rank"), zero("facts"), zero("facts_with_vector"), (F.col("url_id").isNotNull() | F.col("scrape_id").isNotNull()).alias("known"))
@@ -47,12 +49,20 @@ def capped_links(spark: SparkSession, root: str, most: int, run_id: str | None =
     return ranked.withColumn("truncated", F.max("n").over(Window.partitionBy("run_id")) > most).where(F.col("n") <= most)
 
 
-def causality(spark: SparkSession, root: str, most: int = Observability().causality_max_urls, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (run_id, id, kind, ref_id, label, detail, has_vector) and edges (run_id, source, target, rank) of every run, or of one."""
+class Graph(NamedTuple):
+    """Nodes (run_id, id, kind, ref_id, label, detail, has_vector), edges (run_id, source, target, rank) and (run_id, links, truncated)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    cut: DataFrame
+
+
+def causality(spark: SparkSession, root: str, most: int = Observability().causality_max_urls, run_id: str | None = None) -> Graph:
+    """The graph of every run, or of one, and which runs have more links than ``most``."""
     links = cut(capped_links(spark, root, most, run_id))  # the join of the large tables runs once for all that follows
     urls = links.select("run_id", "url_id", "url").distinct()
     scrapes = urls.join(records(spark, root, "scrape_cache", "url", "title", "http_status").withColumnRenamed("id", "scrape_id"), "url")
-    facts = records(spark, root, "memory_facts", "text", "source_url", "volatility").join(facts_with_presence(spark, root).select("id", "has_vector"), "id")
+    facts = facts_with_presence(spark, root, "text", "volatility").where("source_url is not null")
     sourced = urls.join(facts.select(F.col("id").alias("fact_id"), "text", "volatility", "has_vector", F.col("source_url").alias("url")), "url")
     node = lambda kind, ref: F.concat(F.lit(f"{kind}:"), ref)
     searches = records(spark, root, "searches", "run_id", "term", "engine", "search_mode", where=F.col("run_id") == run_id if run_id is not None else None)
@@ -69,7 +79,7 @@ def causality(spark: SparkSession, root: str, most: int = Observability().causal
         .unionByName(scrapes.select("run_id", node("url", F.col("url_id")).alias("source"), node("scrape", F.col("scrape_id")).alias("target"), none))
         .unionByName(sourced.select("run_id", node("url", F.col("url_id")).alias("source"), node("fact", F.col("fact_id")).alias("target"), none))
     )
-    return nodes, edges
+    return Graph(nodes, edges, links.groupBy("run_id").agg(F.count("*").alias("links"), F.bool_or("truncated").alias("truncated")))
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:

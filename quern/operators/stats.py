@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import TIERS
-from quern.operators.records import records
+from quern.operators import jobs
+from quern.operators.records import records, zero_filled
 from quern.runtime import cut
 
 COUNTED = ("runs", "searches", "urls", "scrape_cache", "memory_facts", "search_cache")
 
 
-def zero_filled(counts: DataFrame, column: str, domain: Sequence[str], count: str = "n") -> DataFrame:
-    """Group counts with a row for every value of ``domain``; other values keep theirs."""
-    values = counts.sparkSession.createDataFrame([(v,) for v in domain], f"`{column}` string")
-    return values.join(counts, column, "full_outer").select(column, F.coalesce(count, F.lit(0)).alias(count))
-
-
 def table_counts(spark: SparkSession, root: str) -> DataFrame:
     """(metric, value): the number of records of each table."""
     out = None
@@ -64,8 +58,15 @@ def cache_profile(spark: SparkSession, root: str, table: str, now: datetime) ->
     return rows.groupBy("tier").agg(*measures)
 
 
-def snapshot(spark: SparkSession, root: str, now: datetime) -> DataFrame:
-    """(metric, value) of everything the store can say about itself; each cache is scanned once."""
+def job_metrics(queue: DataFrame, sample: int) -> DataFrame:
+    """(metric, value) of the queue: jobs by status, retries, backlog (null for none) and the mean run of the last ones."""
+    shown = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(f"jobs.{c}").alias("metric"), F.col(c).cast("bigint").alias("value")) for c in df.columns])).alias("p")).select("p.metric", "p.value")
+    by_status = jobs.status_counts(queue).select(F.concat(F.lit("jobs.status."), "status").alias("metric"), F.col("n").alias("value"))
+    return by_status.unionByName(shown(jobs.summary(queue))).unionByName(shown(jobs.timing(queue, sample)))
+
+
+def snapshot(spark: SparkSession, root: str, now: datetime, queue: DataFrame | None = None, sample: int = 200) -> DataFrame:
+    """(metric, value) of everything the store can say about itself, and of its ``queue``; each cache is scanned once."""
     out = None
     for table in ("runs", "searches", "urls", "memory_facts", "vectors"):
         one = records(spark, root, table).agg(F.count("*").alias("value")).select(F.lit(table).alias("metric"), "value")
@@ -82,4 +83,4 @@ def snapshot(spark: SparkSession, root: str, now: datetime) -> DataFrame:
         out = out.unionByName(one.select(pairs.alias("p")).select("p.metric", "p.value"))
         tiers = zero_filled(profile.select("tier", F.col("rows").alias("n")), "tier", TIERS)
         out = out.unionByName(tiers.select(F.concat(F.lit(f"{table}.tier."), F.coalesce("tier", F.lit(""))).alias("metric"), F.col("n").alias("value")))
-    return out
+    return out if queue is None else out.unionByName(job_metrics(queue, sample))

@@ -135,6 +135,18 @@ def covariance(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, in
     return mean, total[:-1, :-1] / n - np.outer(mean, mean), n
 
 
+def sample_page(vectors: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """(owner_kind, id, total, truncated): a page of vectors in the order of kind and id, and whether more follow.
+
+    The page is counted before owners that are gone drop out of it.
+    """
+    total = vectors.agg(F.count("*").alias("total"))
+    shown = vectors.select("owner_kind", "id").orderBy("owner_kind", "id").offset(max(0, offset)).limit(limit)
+    sized = shown.agg(F.count("*").alias("shown"))
+    flags = total.join(F.broadcast(sized)).select("total", (F.col("shown") + max(0, offset) < F.col("total")).alias("truncated")).first()
+    return shown.select("owner_kind", "id", F.lit(flags.total).alias("total"), F.lit(flags.truncated).alias("truncated"))
+
+
 def project(vectors: DataFrame, dim: int = 128) -> DataFrame:
     """(owner_kind, id, x, y): the vectors on their two main axes; the largest loading of an axis is positive.
 

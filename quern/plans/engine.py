@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quern.config import Settings
 from quern.functions.options import clamp_k, clamp_projection, required
-from quern.operators import paging, provenance, runs, stats, vectors
+from quern.operators import lifecycle, paging, provenance, runs, stats, vectors
 from quern.operators.records import records
 from quern.plans import resolver
 from quern.runtime import read_table
+from quern.schemas import schema
 from quern.sources.models import ChatModel, Embedder, embedded
 
 
@@ -47,7 +48,8 @@ class Engine:
     def run_scrapes(self, run_id: str) -> DataFrame:
         return paging.cached_pages(self.spark, self.root, run_id=run_id)
 
-    def run_causality(self, run_id: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    def run_causality(self, run_id: str, most: int | None = None) -> provenance.Graph:
+        """Nodes, edges and whether links were left out."""
         return provenance.causality(self.spark, self.root, most or self.settings.observability.causality_max_urls, run_id)
 
     def scrape(self, scrape_id: str) -> DataFrame:
@@ -56,7 +58,7 @@ class Engine:
 
     def url_provenance(self, url: str) -> DataFrame:
         required(url=url)
-        return provenance.url_provenance(self.spark, self.root).where(F.col("url") == url)
+        return provenance.url_provenance(self.spark, self.root, url)
 
     def searches_finding(self, url: str) -> DataFrame:
         required(url=url)
@@ -88,10 +90,27 @@ class Engine:
         owners = vectors.owners(self._records("memory_facts", "text", "source_url"), self._records("search_cache", "query"))
         return vectors.explore(vectors.search(self.known_vectors(), asked, k), owners, k), ""
 
-    def projection(self, limit: int | None = None) -> DataFrame:
-        """Points of a bounded page of vectors."""
-        page = self.known_vectors().orderBy("owner_kind", "id").limit(clamp_projection(limit, self.settings.observability.projection_sample_cap))
-        return vectors.scaled_to_box(vectors.project(page, self.embedder.dim if self.embedder else 128))
+    def projection(self, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Points of a bounded page of vectors, with the total and whether more follow."""
+        known = self.known_vectors()
+        page = vectors.sample_page(known, clamp_projection(limit, self.settings.observability.projection_sample_cap), offset)
+        placed = vectors.scaled_to_box(vectors.project(known.join(page.select("owner_kind", "id"), ["owner_kind", "id"]), self.embedder.dim if self.embedder else 128))
+        return placed.join(page, ["owner_kind", "id"])
+
+    def saved_pages(self, fetched: DataFrame) -> DataFrame:
+        """The page cache after fetches (url and what was fetched)."""
+        columns = [c for c in schema("scrape_cache").names if c != "id"]
+        return lifecycle.saved_pages(self._records("scrape_cache", *columns), fetched, self.now, self.settings.tiers)
+
+    def stored_answers(self, answers: DataFrame) -> DataFrame:
+        """The query cache after new answers (query_norm, query, results, tier)."""
+        columns = [c for c in schema("search_cache").names if c != "id"]
+        return lifecycle.stored_searches(self._records("search_cache", *columns), answers, self.now, self.settings.tiers)
+
+    def kept_vectors(self) -> DataFrame:
+        """Vectors that are left once expired facts and cached queries go."""
+        gone = {kind: lifecycle.expired(self._records(table, "expires_at"), self.now) for kind, table in (("memory", "memory_facts"), ("search", "search_cache"))}
+        return lifecycle.cascade(self._records("vectors", "embedding", "dim", "created_at"), gone)
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """How each question (id, term) is answered: memory, cache or live."""

@@ -16,7 +16,7 @@ from quern.config import Settings
 from quern.functions import html, text, tiers, urls
 from quern.operators import jobs, lifecycle, paging, provenance, runs, stats, vectors
 from quern.operators.records import micros, records
-from quern.runtime import ensure_checkpoint_dir, read_table
+from quern.runtime import current_rows, ensure_checkpoint_dir, read_table
 from quern.sources import lens
 from quern.sources.models import StubEmbedder, embedded
 from quern.streaming import logs as log_stream
@@ -220,6 +220,17 @@ def e13_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return stats.snapshot(spark, root, NOW)
 
 
+@query(
+    f"""WITH jobs AS {_JOBS}, last AS (SELECT * FROM jobs WHERE status = 'done' ORDER BY updated_at DESC, id DESC LIMIT 200)
+SELECT 'jobs.status.' || status AS metric, count(*) AS value FROM jobs GROUP BY status
+UNION ALL SELECT 'jobs.retried', count(*) FILTER (attempts > 1) FROM jobs UNION ALL SELECT 'jobs.max_attempts', max(attempts) FROM jobs UNION ALL SELECT 'jobs.oldest_pending_us', min(epoch_us(created_at)) FROM jobs WHERE status = 'pending'
+UNION ALL SELECT 'jobs.sampled', count(*) FROM last WHERE updated_at >= created_at UNION ALL SELECT 'jobs.avg_ms', CAST(floor(floor(sum(epoch_us(updated_at) - epoch_us(created_at)) / 1000) / count(*)) AS BIGINT) FROM last WHERE updated_at >= created_at"""
+)
+def e13_job_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """The queue's part of the snapshot."""
+    return stats.job_metrics(lens.jobs(spark, root), SETTINGS.observability.job_timing_sample)
+
+
 @query(f"SELECT url_id, arg_min(search_id, (created_at, search_id)) AS search_id, epoch_us(min(created_at)) AS seen_us FROM {_LINKS} GROUP BY url_id")
 def f4_first_seen(spark: SparkSession, root: str) -> DataFrame:
     """The link that brought each address up first."""
@@ -289,10 +300,10 @@ def _owners(spark: SparkSession, root: str) -> DataFrame:
     return vectors.owners(records(spark, root, "memory_facts", "text", "source_url"), records(spark, root, "search_cache", "query"))
 
 
-def _asked(spark: SparkSession, root: str, k: int) -> DataFrame:
-    """The k nearest of each kind for the query set: cached queries whose id, as a number, is divisible by 50."""
+def _asked(spark: SparkSession, root: str, k: int, kind: str | None = "search") -> DataFrame:
+    """The k nearest of each kind for the query set: vectors of a kind, or of all, whose id, as a number, is divisible by 50."""
     known = vectors.current(read_table(spark, root, "vectors", ["id", "owner_kind", "embedding", "model", "created_at"]))
-    asked = known.where("owner_kind = 'search'").where(vectors.id_number() % 50 == 0)
+    asked = (known if kind is None else known.where(F.col("owner_kind") == kind)).where(vectors.id_number() % 50 == 0)
     return vectors.search(known, asked.select("id", "embedding"), k)
 
 
@@ -303,10 +314,13 @@ found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, owner_kind OR
 """
 
 
-@query(_ASKED.format(k=8) + "SELECT query_id, owner_kind, id, distance, position FROM found")
+_ASKED_ALL = _ASKED.replace("owner_kind = 'search' AND ", "")
+
+
+@query(_ASKED_ALL.format(k=8) + "SELECT query_id, owner_kind, id, distance, position FROM found")
 def i1_vector_search(spark: SparkSession, root: str) -> DataFrame:
-    """The 8 nearest vectors of each kind for the query set, against all vectors."""
-    return _asked(spark, root, 8)
+    """The 8 nearest vectors of each kind for the query set of both kinds, against all vectors."""
+    return _asked(spark, root, 8, None)
 
 
 @query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) + 0.0 AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) <= 5")
@@ -353,13 +367,13 @@ def i7_semantic_cache(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    _ASKED.format(k=10)
+    _ASKED_ALL.format(k=10)
     + f""", known_owners AS (SELECT 'memory' AS owner_kind, id, text AS label FROM {_FACTS} UNION ALL SELECT 'search', id, query FROM {_CACHE})
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, owner_kind, id) AS INT) AS place, owner_kind, id, distance, label FROM found JOIN known_owners USING (owner_kind, id) QUALIFY place <= 10"""
 )
 def i9_explore(spark: SparkSession, root: str) -> DataFrame:
     """The 10 nearest of both kinds together for the query set, with what they are."""
-    return vectors.explore(_asked(spark, root, 10), _owners(spark, root), 10)
+    return vectors.explore(_asked(spark, root, 10, None), _owners(spark, root), 10)
 
 
 @query(f"WITH known AS {_VECTORS} SELECT v.owner_kind, v.id, o.label FROM (SELECT * FROM known ORDER BY owner_kind, id LIMIT 2000) v JOIN (SELECT 'memory' AS owner_kind, id, text AS label FROM {_FACTS} UNION ALL SELECT 'search', id, query FROM {_CACHE}) o USING (owner_kind, id)")
@@ -478,6 +492,57 @@ def j10_trimmed_pages(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("id", F.col("raw_html").isNotNull().alias("has_raw"), F.col("clean_html").isNotNull().alias("has_clean"))
 
 
+@query(
+    f"""WITH fetched AS (SELECT url, min(id) AS uid FROM {_URLS} GROUP BY url), cache AS {_PAGES},
+minted AS (SELECT url, printf('%012x', epoch_ms({_AT})) AS t, sha256(url) AS h FROM fetched)
+SELECT coalesce(c.url, f.url) AS url, coalesce(c.id, substr(t, 1, 8) || '-' || substr(t, 9, 4) || '-7' || substr(h, 1, 3) || '-8' || substr(h, 4, 3) || '-' || substr(h, 7, 12)) AS id, CASE WHEN f.url IS NULL THEN c.tier ELSE 'short' END AS tier, CASE WHEN f.url IS NULL THEN c.hit_count ELSE 0 END AS hit_count,
+CASE WHEN f.url IS NULL THEN c.content_hash WHEN length(f.url) % 3 = 0 THEN NULL ELSE sha256('page of ' || f.url) END AS content_hash, CASE WHEN f.url IS NULL THEN c.error WHEN length(f.url) % 3 = 0 THEN 'timeout' END AS error, epoch_us(CASE WHEN f.url IS NULL THEN c.fetched_at ELSE {_AT} END) AS fetched_us
+FROM cache c FULL JOIN fetched f ON f.url = c.url LEFT JOIN minted ON minted.url = f.url"""
+)
+def j6_saved_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The page cache after every registered address was fetched again, a third of them in vain."""
+    known = records(spark, root, "urls", "url").select("url").distinct()
+    failed = F.length("url") % 3 == 0
+    fetched = known.select("url", F.when(~failed, F.concat(F.lit("page of "), "url")).alias("text_content"), F.when(failed, "timeout").alias("error"))
+    cache = records(spark, root, "scrape_cache", "url", "tier", "hit_count", "content_hash", "error", "expires_at", "fetched_at", "created_at").withColumn("updated_at", F.col("fetched_at"))
+    saved = lifecycle.saved_pages(cache, fetched, NOW, SETTINGS.tiers)
+    return saved.select("url", "id", "tier", "hit_count", "content_hash", "error", micros("fetched_at").alias("fetched_us"))
+
+
+@query(
+    f"""SELECT id, mode, epoch_us(started_at) AS started_us, CASE WHEN finished_at IS NULL THEN epoch_us({_AT}) ELSE epoch_us(finished_at) END AS finished_us FROM {_RUNS}
+UNION ALL SELECT 'again:' || id, mode, epoch_us({_AT}), NULL FROM {_RUNS} WHERE finished_at IS NULL"""
+)
+def j12_runs(spark: SparkSession, root: str) -> DataFrame:
+    """All runs after those that were open are finished and each of these is started again."""
+    known = records(spark, root, "runs", "mode", "artifact_dir", "started_at", "finished_at", "created_at")
+    open_ = known.where("finished_at is null")
+    again = open_.select(F.concat(F.lit("again:"), "id").alias("id"), "mode", "artifact_dir")
+    done = lifecycle.started_runs(lifecycle.finished_runs(known, open_, NOW), again, NOW)
+    return done.select("id", "mode", micros("started_at").alias("started_us"), micros("finished_at").alias("finished_us"))
+
+
+@query(
+    f"""WITH facts AS {_FACTS}, known AS {_VECTORS}, asked AS (SELECT id, v FROM known WHERE owner_kind = 'memory' AND CAST('0x' || right(id, 8) AS BIGINT) % 50 = 0),
+near AS (SELECT a.id AS new_id, arg_min(k.id, (round(1 - list_cosine_similarity(a.v, k.v), 5), k.id)) AS fact_id FROM asked a JOIN known k ON k.owner_kind = 'memory' AND k.id <> a.id GROUP BY a.id, a.v),
+hit AS (SELECT n.new_id, n.fact_id FROM near n JOIN asked a ON a.id = n.new_id JOIN known k ON k.owner_kind = 'memory' AND k.id = n.fact_id WHERE round(1 - (round(1 - list_cosine_similarity(a.v, k.v), 5) + 0.0), 5) >= 0.95 AND n.fact_id IN (SELECT id FROM facts) AND n.new_id IN (SELECT id FROM facts)),
+over AS (SELECT fact_id, max(new_id) AS new_id FROM hit GROUP BY fact_id)
+SELECT f.id, CASE WHEN o.new_id IS NULL THEN f.text ELSE 'again: ' || g.text END AS text, f.hit_count FROM facts f LEFT JOIN over o ON o.fact_id = f.id LEFT JOIN facts g ON g.id = o.new_id
+UNION ALL SELECT 'new:' || f.id, 'again: ' || f.text, 0 FROM facts f JOIN asked a ON a.id = f.id WHERE f.id NOT IN (SELECT new_id FROM hit)"""
+)
+def j4_stored_facts(spark: SparkSession, root: str) -> DataFrame:
+    """The facts after those of the query set are told again: each overwrites the most similar other fact, or is added."""
+    known = vectors.current(read_table(spark, root, "vectors", ["id", "owner_kind", "embedding", "model", "created_at"])).where("owner_kind = 'memory'")
+    asked = known.where(vectors.id_number() % 50 == 0)
+    near = vectors.search(known, asked.select("id", "embedding"), 2).where("query_id <> id")  # the fact itself is among the two
+    first = near.groupBy("query_id").agg(F.min(F.struct("distance", "id", "owner_kind")).alias("m")).select("query_id", "m.*", F.lit(1).alias("position"))
+    matches = lifecycle.matched_facts(first, 0.95)
+    facts = records(spark, root, "memory_facts", "text", "source_url", "volatility", "tier", "hit_count", "expires_at", "fetched_at", "created_at").withColumn("updated_at", F.col("fetched_at"))
+    told = facts.join(asked.select("id"), "id", "left_semi").select("id", F.concat(F.lit("again: "), "text").alias("text"), "source_url", "volatility", "tier")
+    stored = lifecycle.stored_facts(facts, told, matches.join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi"), NOW, SETTINGS.tiers)
+    return stored.select(F.when(F.col("created_at") == F.lit(NOW), F.concat(F.lit("new:"), "id")).otherwise(F.col("id")).alias("id"), "text", "hit_count")
+
+
 @query(
     f"""SELECT u.url, CASE WHEN p.url IS NULL THEN 'http' WHEN p.until >= {_AT} THEN 'cache' WHEN p.status = 304 THEN 'cache-revalidated' ELSE 'http' END AS outcome
 FROM (SELECT DISTINCT url FROM {_URLS}) u LEFT JOIN (SELECT url, max(coalesce(expires_at, TIMESTAMPTZ '9999-12-31 00:00:00+00')) AS until, min(CASE WHEN etag IS NOT NULL THEN 304 ELSE 200 END) AS status FROM {_PAGES} GROUP BY url) p USING (url)"""
@@ -557,6 +622,22 @@ def k13_challenged(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", text.looks_blocked(F.col("landed_url"), F.lit(None).cast("string")).alias("challenged"), "blocked")
 
 
+@query(
+    f"""SELECT id, {" OR ".join(f"contains(lower(left(coalesce(text_content, ''), {text.BLOCK_SCAN_CHARS})), '{hint.replace("'", "''")}')" for hint in text.BLOCK_HINTS)} OR contains(lower(url), '/sorry/') OR contains(lower(url), 'captcha') AS challenged FROM {_PAGES}"""
+)
+def k13_challenged_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Cached pages that are a challenge, by their address or by a hint in their text."""
+    return records(spark, root, "scrape_cache", text.looks_blocked(F.col("url"), F.col("text_content")).alias("challenged"))
+
+
+@query(
+    f"""SELECT id, strlen(coalesce(text_content, '')) < 500 OR regexp_matches(coalesce(raw_html, ''), '(?i)<div[^>]+id=["''](root|app|__next)["''][^>]*>\\s*</div>') AS render FROM {_PAGES}"""
+)
+def k25_pages_to_render(spark: SparkSession, root: str) -> DataFrame:
+    """Pages that a browser should fetch again: of little text, or with the mount of a script application."""
+    return records(spark, root, "scrape_cache", text.needs_render(F.col("text_content"), F.col("raw_html"), SETTINGS.scrape.min_text_chars).alias("render"))
+
+
 @query(
     f"SELECT id, url_decode(replace(regexp_extract(coalesce(landed_url, ''), '[?&]q=([^&#]*)', 1), '+', ' ')) AS landed, trim(regexp_replace(lower(url_decode(replace(regexp_extract(coalesce(landed_url, ''), '[?&]q=([^&#]*)', 1), '+', ' '))), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(term), '\\s+', ' ', 'g')) AS same FROM {_SEARCHES}"
 )
@@ -579,7 +660,8 @@ def k15_search_urls(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def k17_cleaned_pages(spark: SparkSession, root: str) -> DataFrame:
     """Title, text and images of every page with raw HTML, cleaned again."""
-    done = html.cleaned(read_table(spark, root, "scrape_cache", ["id", "raw_html", "url"]))
+    rows = current_rows(read_table(spark, root, "scrape_cache", ["id", "updated_at", "raw_html", "url"]), "id", "updated_at")
+    done = html.cleaned(rows.select("id", "raw_html", "url"))  # the newest delivery alone is parsed
     return done.select("id", "title", "text", F.size("images").alias("images")).dropDuplicates(["id"])
 
 
@@ -589,7 +671,13 @@ def k18_titles(spark: SparkSession, root: str) -> DataFrame:
     return records(spark, root, "scrape_cache", html.title_of(F.col("raw_html")).alias("title")).where("title is not null")
 
 
-@query()
+_BLANK = "[\\s\\x{000B}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query(
+    f"""SELECT id, CAST(length(text_content) AS INT) AS before, CAST(length(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text_content, chr(10)), lambda x: trim(regexp_replace(x, '{_BLANK}', ' ', 'g'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS INT) AS after
+FROM {_PAGES} WHERE text_content IS NOT NULL"""
+)
 def k22_collapsed_texts(spark: SparkSession, root: str) -> DataFrame:
     """Characters of every text before and after its white space is collapsed."""
     return records(spark, root, "scrape_cache", F.length("text_content").alias("before"), F.length(text.collapse_whitespace(F.col("text_content"))).alias("after")).where("before is not null")
@@ -617,7 +705,14 @@ def k29_distilled_facts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("source_url", F.explode(text.extracted_facts(answer)).alias("f")).select("source_url", "f.text", "f.volatility")
 
 
-@query()
+_LIMIT = SETTINGS.scrape.distill_max_bytes
+
+
+@query(
+    f"""SELECT id, CAST(CASE WHEN strlen(text_content) <= {_LIMIT} THEN strlen(text_content) ELSE {_LIMIT} - CASE """
+    + " ".join(f"WHEN substr(h, 2 * ({_LIMIT} - {i}) + 1, 2) NOT BETWEEN '80' AND 'BF' THEN {i}" for i in range(4))
+    + f""" END END AS INT) AS bytes, true AS is_prefix FROM (SELECT id, text_content, hex(encode(text_content)) AS h FROM {_PAGES} WHERE text_content IS NOT NULL)"""
+)
 def k31_truncated_texts(spark: SparkSession, root: str) -> DataFrame:
     """Bytes of every text once it is cut for a distil call."""
     cut = text.truncate_bytes(F.col("text_content"), SETTINGS.scrape.distill_max_bytes)
@@ -768,6 +863,19 @@ def m2_causality_edges(spark: SparkSession, root: str) -> DataFrame:
     return provenance.causality(spark, root)[1]
 
 
+@query(_LINKED + "SELECT run_id, least(count(*), 200) AS links, count(*) > 200 AS truncated FROM linked GROUP BY run_id")
+def g7_truncated_graphs(spark: SparkSession, root: str) -> DataFrame:
+    """How many links the graph of each run shows, and whether there are more."""
+    return provenance.causality(spark, root).cut
+
+
+@query(f"WITH known AS {_VECTORS}, n AS (SELECT count(*) AS total FROM known) SELECT owner_kind, id, total, least(total, 300) < total AS truncated FROM (SELECT owner_kind, id FROM known ORDER BY owner_kind, id LIMIT 200 OFFSET 100), n")
+def g8_projection_page(spark: SparkSession, root: str) -> DataFrame:
+    """The second page of the projection's sample, with the total and whether more follow."""
+    known = vectors.current(read_table(spark, root, "vectors", ["id", "owner_kind", "embedding", "model", "created_at"]))
+    return vectors.sample_page(known, 200, 100)
+
+
 @query(_GRAPH + _NODES)
 def m2_causality_nodes(spark: SparkSession, root: str) -> DataFrame:
     """Nodes of the causality graph of every run."""
@@ -783,7 +891,7 @@ def e12_node_counts(spark: SparkSession, root: str) -> DataFrame:
 @query(_GRAPH + f", edges AS ({_EDGES}) SELECT a.run_id, a.source AS search, a.target || coalesce('/' || b.target, '') AS path FROM edges a LEFT JOIN edges b ON b.run_id = a.run_id AND b.source = a.target WHERE a.source LIKE 'search:%'")
 def m3_trees(spark: SparkSession, root: str) -> DataFrame:
     """The graphs as trees below their searches."""
-    return provenance.tree(*provenance.causality(spark, root))
+    return provenance.tree(*provenance.causality(spark, root)[:2])
 
 
 @query(_LINKED + "SELECT run_id, key, arg_min(url, (term, rank, url)) AS url FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '') || '?' || regexp_extract(url, '\\?([^#]*)', 1) AS key FROM linked) GROUP BY run_id, key")

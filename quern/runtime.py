@@ -37,11 +37,16 @@ def read_table(spark: SparkSession, root: str, name: str, columns: Iterable[str]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only where that is unset (tests) take one of our own."""
+    """Use the folder of ``spark.checkpoint.dir``; only where that is unset take one of our own, in local mode alone.
+
+    On a cluster a folder of the driver's machine would be lost to the executors, so there it is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quern-checkpoint-"))
 
 
@@ -67,6 +72,15 @@ def newest(df: DataFrame, key: str | list[str], order: str, *payload: str) -> Da
     return df.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*")
 
 
+def current_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``df`` without rows that a later delivery of the same ``key`` replaced; rows of equal ``order`` all stay.
+
+    Only the keys and times are shuffled; the few replaced rows are broadcast where their number allows it.
+    """
+    last = df.groupBy(key).agg(F.max(order).alias("__last"), F.min(order).alias("__first")).where("__first < __last").select(F.col(key).alias("__key"), "__last")
+    return df.join(if_small(last), F.col(key).eqNullSafe(F.col("__key")) & (F.col(order) < F.col("__last")), "left_anti")
+
+
 def all_of(predicates: Iterable[Column | None]) -> Column:
     """Conjunction of the predicates that are given."""
     out = F.lit(True)

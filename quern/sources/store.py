@@ -54,10 +54,11 @@ class SnapshotStore:
                 manifest["meta"][key] = value
         self._flip(manifest)
 
-    def compact(self, files: int = 1) -> tuple[int, int]:
-        """Rewrite every table into ``files`` files and drop old snapshots; bytes before and after."""
+    def compact(self, file_bytes: int = 128 << 20) -> tuple[int, int]:
+        """Rewrite every table into files of about ``file_bytes`` and drop old snapshots; bytes before and after."""
         before = self.size()
-        self.commit(**{t: self.read(t).coalesce(files) for t in self.manifest["tables"]})
+        files = {t: max(1, -(-self.size(self.root / t / v) // file_bytes)) for t, v in self.manifest["tables"].items()}
+        self.commit(**{t: self.read(t).coalesce(n) for t, n in files.items()})
         current = self.manifest["tables"]
         for table, version in current.items():
             for old in (self.root / table).iterdir():
@@ -67,8 +68,8 @@ class SnapshotStore:
                     old.rmdir()
         return before, self.size()
 
-    def size(self) -> int:
-        return sum(p.stat().st_size for p in self.root.rglob("*") if p.is_file())
+    def size(self, folder: Path | None = None) -> int:
+        return sum(p.stat().st_size for p in (folder or self.root).rglob("*") if p.is_file())
 
     def vectors_state(self) -> str:
         """``none``, ``migrating`` or ``ready``: whether semantic reads can be answered."""

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.text import level_of
 
@@ -40,10 +41,11 @@ def deduplicated(lines: DataFrame, late: str = "1 hour") -> DataFrame:
     return lines.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", trigger: timedelta | None = None) -> None:
-    """Write all there is of ``stream`` as parquet to ``target``, or go on every ``trigger``."""
+def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", trigger: timedelta | None = None) -> StreamingQuery:
+    """Write all there is of ``stream`` as parquet to ``target``, or go on every ``trigger``; the query can be stopped and awaited."""
     writer = stream.writeStream.outputMode(mode).format("parquet").option("path", target).option("checkpointLocation", checkpoint)
     if trigger is None:
-        writer.trigger(availableNow=True).start().awaitTermination()
-    else:
-        writer.trigger(processingTime=f"{trigger.total_seconds()} seconds").start()
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+    return writer.trigger(processingTime=f"{trigger.total_seconds()} seconds").start()

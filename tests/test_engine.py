@@ -64,12 +64,14 @@ def test_reads(engine):
 
 
 def test_causality(engine):
-    nodes, edges = engine.run_causality("01")
+    nodes, edges, whole = engine.run_causality("01")
+    assert not whole.first().truncated
     kinds = sorted(r.kind for r in nodes.collect())
     assert kinds == ["fact", "scrape", "scrape", "search", "search", "url", "url"]
     ids = {r.id for r in nodes.collect()}
     assert all(e.source in ids and e.target in ids for e in edges.collect()) and edges.where("target = 'url:03'").count() == 2
-    small, _ = engine.run_causality("01", 1)
+    small, _, part = engine.run_causality("01", 1)
+    assert part.first().truncated
     assert small.where("kind = 'url'").count() == 1
 
 

@@ -218,7 +218,46 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], schema(table)).write.parquet(f"{tmp_path}/{table}.parquet")
     root = str(tmp_path)
     assert runs.run_urls(spark, root).count() == runs.list_runs(spark, root).count() == provenance.url_provenance(spark, root).count() == 0
-    nodes, edges = provenance.causality(spark, root)
+    nodes, edges, _ = provenance.causality(spark, root)
     assert nodes.count() == edges.count() == 0 and {r.n for r in provenance.node_counts(nodes).collect()} == {0}
     assert {r.value for r in stats.snapshot(spark, root, NOW).collect()} == {0}
     assert records(spark, root, "vectors").count() == 0
+
+
+def test_keys_of_several_columns(spark):
+    state = spark.createDataFrame([("m", "1", 1), ("s", "1", 2)], "owner_kind string, id string, n int")
+    change = spark.createDataFrame([("s", "1", 7), ("s", "2", 8)], state.schema)
+    assert sorted(map(tuple, lifecycle.upsert(state, change, ["owner_kind", "id"]).collect())) == [("m", "1", 1), ("s", "1", 7), ("s", "2", 8)]
+
+
+def test_replaced_deliveries_are_left_out(spark):
+    from quern.runtime import current_rows
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1), (None, 1), (None, 3)], "id string, at int")
+    assert sorted(map(str, current_rows(df, "id", "at").collect())) == sorted(map(str, spark.createDataFrame([("a", 2), ("b", 1), ("b", 1), (None, 3)], df.schema).collect()))
+
+
+def test_saved_pages_start_anew(spark):
+    cache = spark.createDataFrame([("x", "u1", "long", 9, "h", "t", NOW - timedelta(days=9), NOW - timedelta(days=9), NOW - timedelta(days=9), NOW)], "id string, url string, tier string, hit_count int, content_hash string, text_content string, created_at timestamp, updated_at timestamp, fetched_at timestamp, expires_at timestamp")
+    fetched = spark.createDataFrame([("u1", None), ("u2", "hello")], "url string, text_content string")
+    rows = {r.url: r for r in lifecycle.saved_pages(cache, fetched, NOW).collect()}
+    assert (rows["u1"].id, rows["u1"].tier, rows["u1"].hit_count, rows["u1"].content_hash, rows["u1"].text_content) == ("x", "short", 0, None, None)
+    assert rows["u1"].created_at < rows["u1"].fetched_at and len(rows["u2"].id) == 36 and rows["u2"].id[14] == "7" and rows["u2"].content_hash
+    assert lifecycle.saved_pages(cache.limit(0), fetched, NOW).where("url = 'u2'").first().id == rows["u2"].id
+
+
+def test_raw_result_pages_are_trimmed(spark):
+    raw = spark.createDataFrame([(str(i), NOW - timedelta(days=i)) for i in range(6)], "id string, created_at timestamp")
+    assert sorted(r.id for r in lifecycle.trimmed_raw(raw, NOW, timedelta(days=2), 1).collect()) == ["0", "1", "2"]
+    assert sorted(r.id for r in lifecycle.trimmed_raw(raw, NOW, timedelta(hours=1), 3).collect()) == ["0", "1", "2"]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quern.runtime import ensure_checkpoint_dir
+
+    defined = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: defined)), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf={}))
