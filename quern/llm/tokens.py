@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ class SpeculativeBpe:
         self.longest = max(map(len, self.ranks))
         self.words_of = regex.compile(PATTERN).findall
         self.words: dict[str, np.ndarray] = {}
-        self.pairs: dict[int, bool] = {}
+        self.keys, self.verdicts = np.empty(0, np.int64), np.empty(0, bool)  # pairs tested so far, in order
         self.exact_merges = 0
 
     def propose(self, word: bytes) -> list[int]:
@@ -80,14 +82,24 @@ class SpeculativeBpe:
         return [self.ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
 
     def compatible(self, keys: np.ndarray) -> np.ndarray:
-        """For each distinct pair key ``left << 32 | right``, whether the two tokens can stand side by side."""
-        if len(self.pairs) > MEMO_PAIRS:
-            self.pairs.clear()
-        for key in keys.tolist():
-            if key not in self.pairs:
-                left, right = key >> 32, key & 0xFFFFFFFF
-                self.pairs[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return np.fromiter((self.pairs[k] for k in keys.tolist()), bool, len(keys))
+        """For each distinct pair key ``left << 32 | right``, in order, whether the two tokens can stand side by side.
+
+        All pairs are looked up in one search among those tested before; each new pair is merged once.
+        """
+        if len(self.keys) > MEMO_PAIRS:
+            self.keys, self.verdicts = self.keys[:0], self.verdicts[:0]
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        out = np.zeros(len(keys), bool)
+        out[known] = self.verdicts[at[known]]
+        if not known.all():
+            new, bytes_of = keys[~known], self.bytes_of
+            pairs = zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist())
+            out[~known] = np.fromiter((self.merge(bytes_of[a] + bytes_of[b]) == [a, b] for a, b in pairs), bool, len(new))
+            self.keys, self.verdicts = np.insert(self.keys, at[~known], new), np.insert(self.verdicts, at[~known], out[~known])
+        return out
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the pre-tokens not seen before, all their neighbouring pairs in one test."""
@@ -124,8 +136,17 @@ class SpeculativeBpe:
 
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str) -> SpeculativeBpe:
-    """One encoder for each Python worker."""
-    return SpeculativeBpe(ranks_path)
+    """One encoder for each Python worker; a file that was sent with the job is preferred to one of that path."""
+    sent = SparkFiles.get(os.path.basename(ranks_path)) if SparkFiles._is_running_on_worker else ranks_path
+    return SpeculativeBpe(sent if os.path.exists(sent) else ranks_path)
+
+
+def _sent(df: DataFrame, ranks_path: str) -> str:
+    """``ranks_path``, after its file was sent to the executors, which need not have it."""
+    context = df.sparkSession.sparkContext
+    if os.path.exists(ranks_path) and not any(f.endswith("/" + os.path.basename(ranks_path)) for f in context.listFiles):
+        context.addFile(ranks_path)
+    return ranks_path
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -139,7 +160,7 @@ def encode_corpus(df: DataFrame, id_column: str, text_column: str, ranks_path: s
     Null texts and empty texts give an empty array. Strings of special tokens are ordinary text. Rows with
     a null id and repeated rows keep their own result row; other columns of ``df`` are not read.
     """
-    id_type = dict(df.dtypes)[id_column]
+    id_type, ranks_path = dict(df.dtypes)[id_column], _sent(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path)
@@ -156,7 +177,7 @@ def encode_corpus(df: DataFrame, id_column: str, text_column: str, ranks_path: s
 
 def count_tokens(df: DataFrame, id_column: str, text_column: str, ranks_path: str = DEFAULT_RANKS, count_column: str = "n_tokens", carried: tuple[str, ...] = ()) -> DataFrame:
     """As :func:`encode_corpus`, but with the number of tokens (bigint; 0 for null and empty texts) and the columns ``carried``."""
-    types = dict(df.dtypes)
+    types, ranks_path = dict(df.dtypes), _sent(df, ranks_path)
     kept = (id_column, *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
