@@ -30,7 +30,7 @@ EXEMPLARS = (
     "die angeforderte adresse gibt es nicht mehr", "diese adresse gibt es auf nicht mehr", "page introuvable", "l'adresse demandée n'existe pas sur", "cette page n'existe plus", "página no encontrada", "la dirección pedida ya no existe en", "esta página ya no existe",
     "страница не найдена", "запрошенного адреса больше нет на", "такой страницы нет", "такого адреса на сайте больше нет",
     # errors
-    "500 internal server error", "internal server error", "something went wrong on our side reference <code>", "an error has occurred, error code <code>", "502 bad gateway", "bad gateway proxy <code>", "proxy <code>", "503 service temporarily unavailable", "503 service unavailable",
+    "500 internal server error", "internal server error", "error 500", "error 404", "error 403", "error 503", "fehler 404", "fehler 500", "erreur 404", "erreur 500", "error 502", "ошибка 404", "ошибка 500", "something went wrong on our side reference <code>", "an error has occurred, error code <code>", "502 bad gateway", "bad gateway proxy <code>", "proxy <code>", "503 service temporarily unavailable", "503 service unavailable",
     "504 gateway timeout", "error establishing a database connection", "fatal error uncaught typeerror cannot read value of null in file line <code>", "uncaught error in app <code> view line", "uncaught exception thrown in file on line", "stack trace render main",
     "traceback most recent call last", "file page line in render", "keyerror body", "exception in thread main java lang nullpointerexception", "warning undefined variable in on line",
     "interner serverfehler", "es ist ein fehler aufgetreten vorgang <code>", "vorgang <code>", "erreur interne du serveur", "une erreur est survenue référence <code>", "référence <code>", "error interno del servidor", "se ha producido un error referencia <code>", "referencia <code>", "внутренняя ошибка сервера", "произошла ошибка код <code>", "код <code>",
@@ -74,7 +74,7 @@ _SUFFIX = re.compile(r"\s[|–—-]\s[^|–—-]+$")
 #: A window is residue from this containment on, a text from this coverage on, a title from this containment on.
 LEAST_CONTAINMENT, LEAST_COVERAGE, LEAST_TITLE = 0.6, 0.3, 0.7
 #: A placeholder weighs as much as this many unknown words. A window that a counter-exemplar contains to this part is none.
-SLOT_WORDS, COUNTER_CONTAINMENT = 20, 0.4
+SLOT_WORDS, COUNTER_CONTAINMENT = 30, 0.4
 #: A window must hold this part of an exemplar's weight, or so many of its words.
 LEAST_OF_EXEMPLAR, ENOUGH_WORDS = 0.6, 4
 
