@@ -169,7 +169,7 @@ def block_join(rows: DataFrame, tasks: int, k: int, digits: int, mutual: bool) -
     """FOUND rows: for each home row its k best visitors and, with ``mutual``, for each visitor its k best home rows.
 
     ``rows`` has task (int), home (int, unique within a task), role (0 at home, 1 visiting), owner_kind, id and
-    embedding (array<float>, all of one length). Rows at home of a mutual join are also compared with each
+    embedding (array<float>, all of one length; rows without one are left out). Rows at home of a mutual join are also compared with each
     other. In a join that isn't mutual visitors of several kinds may come; the home rows get k of each kind.
     The best of a row come from several tasks and are to be merged.
     """
@@ -227,7 +227,7 @@ def block_join(rows: DataFrame, tasks: int, k: int, digits: int, mutual: bool) -
             yield home.best.batch(kind, home.block.ids)
 
     order = ("home", "owner_kind", "role") if mutual else ("home", "role", "owner_kind")
-    placed = rows.repartitionById(tasks, "task").sortWithinPartitions(*order)
+    placed = rows.where("embedding is not null").repartitionById(tasks, "task").sortWithinPartitions(*order)
     return placed.select("home", "role", "owner_kind", "id", "embedding").mapInArrow(run, FOUND)
 
 

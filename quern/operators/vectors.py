@@ -31,7 +31,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def current(vectors: DataFrame, model: str = "emb-v1", dim: int = 128) -> DataFrame:
     """(owner_kind, id, embedding) of the active generation; each owner once, unusable vectors left out."""
     good = (F.col("model") == model) & (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
-    return vectors.where(good).groupBy("owner_kind", "id").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    return vectors.where(good).groupBy("owner_kind", "id").agg(F.max_by("embedding", F.coalesce(F.col("created_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))).alias("embedding"))
 
 
 def id_number(column: str = "id") -> Column:
